@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference recommender is batch only: it has no stream source, watermark,
+window or stateful operator, so there is nothing to rebuild here. Every
+technique runs as a batch job over whole tables (see ``cartwheel.operators``).
+"""
