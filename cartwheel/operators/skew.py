@@ -10,6 +10,11 @@ salt and are not copied. The result is exactly the plain join.
 Hot keys are those holding more than ``hot_fraction`` of the big side's rows, so
 there are at most ``1 / hot_fraction`` of them: that bound is what makes the
 broadcast of the hot-key table safe.
+
+Both join sides are also hash-partitioned explicitly into the session's shuffle
+partition count. The inputs of these joins are small next to their output, so
+adaptive execution would otherwise coalesce them into very few partitions and
+leave one task to produce the whole fan-out.
 """
 
 from __future__ import annotations
@@ -42,16 +47,23 @@ def hot_keys(df: DataFrame, keys: list[str], skew: Skew = DEFAULT_SKEW) -> DataF
                     .cast("int").alias("_salts")))
 
 
+def fanout_partitions(df: DataFrame) -> int:
+    """Partition count for a join whose output is much larger than its input."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: list[str],
-                how: str = "inner", skew: Skew | None = DEFAULT_SKEW) -> DataFrame:
+                how: str = "inner", skew: Skew | None = DEFAULT_SKEW,
+                partitions: int | None = None) -> DataFrame:
     """``big.join(other, keys, how)`` with hot keys of ``big`` split by ``salt_by``.
 
     ``salt_by`` are columns of ``big`` that spread a hot key's rows (for example
     the customer id when the key is a product). ``how`` is ``inner`` or ``left``
     (rows of ``big`` are never copied, so a left join stays exact).
     """
+    n = partitions or fanout_partitions(big)
     if skew is None:
-        return big.join(other, keys, how)
+        return big.repartition(n, *keys).join(other.repartition(n, *keys), keys, how)
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     hot = F.broadcast(hot_keys(big, keys, skew))
@@ -62,4 +74,5 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: list
     other_s = (other.join(hot, keys, "left")
                .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
                .drop("_salts"))
-    return big_s.join(other_s, [*keys, "_salt"], how).drop("_salt")
+    on = [*keys, "_salt"]
+    return big_s.repartition(n, *on).join(other_s.repartition(n, *on), on, how).drop("_salt")
