@@ -12,8 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import basket, postfilter
-from ..sources.mart import CUSTOMER, REF, STYLE, load_mart
+from .. import functions as fn
+from ..operators import basket, features, postfilter, report
+from ..sources import warehouse
+from ..sources.mart import CUSTOMER, ITEM, REF, STYLE, load_mart
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +77,171 @@ def mba_top(spark, sf_dir, k=TOP_K):
 @query("mba_top10")
 def mba_top10(spark, sf_dir):
     return mba_top(spark, sf_dir)
+
+
+def r4(c):
+    return F.round(c, 4)
+
+
+def rebuy_suggestions(invoices: DataFrame) -> DataFrame:
+    """Suggestion-shaped input for the filter queries: every style a customer
+    bought, scored by its spend."""
+    return invoices.groupBy(CUSTOMER, STYLE).agg(F.sum("spend").cast("double").alias("score"))
+
+
+# --- sources (S2-S8, F1-F6) ------------------------------------------------
+
+@query("invoice_lines")
+def invoice_lines(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    return m.invoices.select(CUSTOMER, STYLE, REF, "invoice_date", "quantity", "unit_price",
+                             F.col("spend").cast("double").alias("spend"))
+
+
+@query("active_customers")
+def active_customers(spark, sf_dir):
+    return load_mart(spark, sf_dir).customers
+
+
+@query("live_products")
+def live_products_q(spark, sf_dir):
+    return load_mart(spark, sf_dir).products
+
+
+@query("margin_lines")
+def margin_lines_q(spark, sf_dir):
+    df = warehouse.margin_lines(spark, sf_dir)
+    return df.select(CUSTOMER, STYLE, REF, "invoice_date", "invoice_month", "division_id", "company_id",
+                     "quantity", "unit_price", F.col("spend").cast("double").alias("spend"),
+                     r9(F.col("margin_pct")).alias("margin_pct"))
+
+
+@query("warehouse_customers")
+def warehouse_customers_q(spark, sf_dir):
+    return warehouse.warehouse_customers(spark, sf_dir)
+
+
+@query("product_star_join")
+def product_star_join(spark, sf_dir):
+    return warehouse.product_star(spark, sf_dir)
+
+
+@query("parse_amounts_and_years")
+def parse_amounts_and_years(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    c = m.customers.select(CUSTOMER, fn.comma_number("zip").alias("zip_number"),
+                           fn.slash_year("active_date").alias("active_year"),
+                           fn.str_or_empty("credit_type").alias("credit_text"))
+    years = (m.invoices.select(CUSTOMER, *ITEM).join(m.products.select(*ITEM, "intro_date"), ITEM)
+             .groupBy(CUSTOMER).agg(F.max(fn.iso_year("intro_date")).alias("latest_style_year")))
+    return c.join(years, CUSTOMER, "left")
+
+
+# --- tags and post-filters (A5, P5, P6) -------------------------------------
+
+@query("product_tags")
+def product_tags(spark, sf_dir):
+    t = report.style_tags(load_mart(spark, sf_dir).mixes)
+    return t.select(STYLE, "tags", F.col("n_tags").cast("bigint"))
+
+
+@query("tag_exclusion")
+def tag_exclusion(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    return postfilter.exclude_tags(rebuy_suggestions(m.invoices), m.mixes, EXCLUDED_TAGS)
+
+
+@query("recency_exclusion")
+def recency_exclusion(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    return postfilter.exclude_recent(rebuy_suggestions(m.invoices), m.invoices, RECENCY_MONTHS, AS_OF)
+
+
+@query("recency_any_old")
+def recency_any_old(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    return postfilter.exclude_recent(rebuy_suggestions(m.invoices), m.invoices, RECENCY_MONTHS, AS_OF,
+                                     any_old_purchase=True)
+
+
+# --- history and spend (A8-A10, A14) -----------------------------------------
+
+@query("customer_top_purchases")
+def customer_top_purchases(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    t = report.top_purchases(m.invoices, m.products, m.mixes, k=REPORT_K)
+    return t.withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("customer_spend_stats")
+def customer_spend_stats(spark, sf_dir):
+    s = features.spend_stats(load_mart(spark, sf_dir).invoices)
+    return s.select(CUSTOMER, "total_spend", F.col("lines").cast("bigint"),
+                    r9(F.col("avg_spend")).alias("avg_spend"))
+
+
+@query("avg_style_year")
+def avg_style_year(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    s = features.style_stats(m.invoices, m.products)
+    return s.select(CUSTOMER, r9(F.col("avg_pile_weight")).alias("avg_pile_weight"),
+                    r9(F.col("total_pile_weight")).alias("total_pile_weight"),
+                    r9(F.col("avg_style_year")).alias("avg_style_year"))
+
+
+# --- categories and features (A6, A7, A11, A19, E2-E6) -----------------------
+
+@query("category_dictionary")
+def category_dictionary(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    parts = [features.category_dictionary(m.products, col).select(F.lit(name).alias("dimension"), "value", "slot")
+             for name, col in features.PRODUCT_CATEGORY.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _share_query(column):
+    def run(spark, sf_dir):
+        m = load_mart(spark, sf_dir)
+        s = features.category_share(m.invoices, m.products, column)
+        return s.select(CUSTOMER, "value", r9(F.col("share")).alias("share"))
+    return run
+
+
+QUERIES["category_share_desc"] = _share_query("prod_desc")
+QUERIES["category_share_sub"] = _share_query("sub_category")
+QUERIES["category_share_high"] = _share_query("high_category")
+
+
+@query("tag_share")
+def tag_share(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    return features.tag_share(m.invoices, m.mixes).select(CUSTOMER, "value", r9(F.col("share")).alias("share"))
+
+
+@query("customer_one_hot")
+def customer_one_hot(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    parts = [features.one_hot(m.customers, col).select(CUSTOMER, F.lit(name).alias("feature"), "value", "slot")
+             for name, col in features.CUSTOMER_CATEGORY.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("household_features")
+def household_features(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    return features.customer_households(m.customers, m.households)
+
+
+@query("feature_zscore")
+def feature_zscore(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    names = features.FEATURE_CATALOG
+    z = features.zscore(features.feature_long(features.feature_arrays(m, names), names))
+    # z-scores amplify float noise of mean and stddev: 6 digits are engine-stable
+    return z.select(CUSTOMER, "feature", "slot", F.round(F.col("z"), 6).alias("z"))

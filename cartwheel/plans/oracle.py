@@ -118,3 +118,211 @@ oracle("mba_top10",
                                     AND i.style_id = mba.style_id)
                   GROUP BY customer_id, style_id))
           WHERE rank <= 10""", _F, _N, _K, _CAND, _MBA)
+
+
+# --- sources ------------------------------------------------------------------
+
+oracle("invoice_lines",
+       """SELECT customer_id, style_id, ref_id, invoice_date, quantity, unit_price,
+                 CAST(spend AS DOUBLE) AS spend FROM invoices""")
+
+oracle("active_customers", "SELECT * FROM customers")
+
+oracle("live_products", "SELECT * FROM products")
+
+oracle("warehouse_customers", "SELECT * FROM all_customers WHERE status IN ('A', 'Z')")
+
+oracle("margin_lines", """
+    SELECT customer_id, style_id, ref_id, invoice_date, invoice_month, division_id, company_id,
+           quantity, unit_price, CAST(spend AS DOUBLE) AS spend,
+           round((net_amount - cost) / net_amount, 9) AS margin_pct
+    FROM (SELECT o_custkey AS customer_id,
+                 CAST(CAST(floor(l_partkey / 4.0) AS BIGINT) AS VARCHAR) AS style_id,
+                 CAST(l_partkey % 4 AS INTEGER) AS ref_id,
+                 CAST(o_orderdate AS DATE) AS invoice_date,
+                 strftime(o_orderdate, '%Y%m') AS invoice_month,
+                 lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS division_id,
+                 l_suppkey AS company_id, l_quantity AS quantity,
+                 l_extendedprice / l_quantity AS unit_price,
+                 CAST(l_extendedprice AS DECIMAL(18,2)) AS spend,
+                 l_extendedprice * (CAST(1 AS DOUBLE) - l_discount) AS net_amount,
+                 l_extendedprice * CAST(0.7 AS DOUBLE) AS cost,
+                 l_returnflag, l_linestatus
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)
+    WHERE invoice_month > '199512' AND net_amount <> 0 AND l_returnflag <> 'R' AND spend > 0
+      AND division_id IN ('02', '06', '32', '34', '58', '60', '63', '93', '94', '96')
+      AND l_linestatus = 'O'""")
+
+oracle("product_star_join", """
+    SELECT p.style_id, p.ref_id, p.style_name, p.prod_desc, p.sub_category, p.high_category,
+           s_name AS company, n_name AS nation, r_name AS region
+    FROM products p
+    JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) i
+      ON CAST(p.style_id AS BIGINT) * 4 + p.ref_id = i.l_partkey
+    JOIN supplier ON i.l_suppkey = s_suppkey
+    JOIN nation ON s_nationkey = n_nationkey
+    JOIN region ON n_regionkey = r_regionkey""")
+
+oracle("parse_amounts_and_years", """
+    SELECT c.customer_id,
+           TRY_CAST(replace(c.zip, ',', '') AS DOUBLE) AS zip_number,
+           CASE WHEN c.active_date = '#N/A' THEN CAST(1946 AS DOUBLE)
+                ELSE TRY_CAST(split_part(c.active_date, '/', 3) AS DOUBLE) END AS active_year,
+           coalesce(c.credit_type, '') AS credit_text,
+           y.latest_style_year
+    FROM customers c LEFT JOIN (
+        SELECT i.customer_id, max(TRY_CAST(split_part(p.intro_date, '-', 1) AS DOUBLE)) AS latest_style_year
+        FROM invoices i JOIN products p ON i.style_id = p.style_id AND i.ref_id = p.ref_id
+        GROUP BY i.customer_id) y ON y.customer_id = c.customer_id""")
+
+# --- tags and post-filters ------------------------------------------------------
+
+_REBUY = ("rebuy", """SELECT customer_id, style_id, CAST(sum(spend) AS DOUBLE) AS score
+                      FROM invoices GROUP BY customer_id, style_id""")
+_CUTOFF = "CAST(DATE '2001-08-01' - INTERVAL 24 MONTH AS DATE)"
+
+oracle("product_tags", """
+    SELECT style_id, array_to_string(list_sort(list_distinct(list(mix))), ',') AS tags,
+           count(DISTINCT mix) AS n_tags
+    FROM mixes GROUP BY style_id""")
+
+oracle("tag_exclusion", """
+    SELECT * FROM rebuy r WHERE NOT EXISTS (
+        SELECT 1 FROM mixes m WHERE m.style_id = r.style_id AND m.mix IN ('MIX_2', 'MIX_7'))""", _REBUY)
+
+oracle("recency_exclusion", f"""
+    SELECT * FROM rebuy r WHERE NOT EXISTS (
+        SELECT 1 FROM invoices i WHERE i.customer_id = r.customer_id AND i.style_id = r.style_id
+          AND i.invoice_date >= {_CUTOFF})""", _REBUY)
+
+oracle("recency_any_old", f"""
+    SELECT * FROM rebuy r
+    WHERE NOT EXISTS (SELECT 1 FROM invoices i WHERE i.customer_id = r.customer_id AND i.style_id = r.style_id)
+       OR EXISTS (SELECT 1 FROM invoices i WHERE i.customer_id = r.customer_id AND i.style_id = r.style_id
+                    AND i.invoice_date < {_CUTOFF})""", _REBUY)
+
+# --- history and spend -------------------------------------------------------------
+
+_ITEM_TAGS = ("item_tags", """SELECT style_id, ref_id,
+                                     array_to_string(list_sort(list_distinct(list(mix))), ',') AS tags
+                              FROM mixes GROUP BY style_id, ref_id""")
+
+oracle("customer_top_purchases", """
+    SELECT rk.customer_id, CAST(rk.rank AS INTEGER) AS rank, rk.style_id, rk.ref_id,
+           CAST(rk.spend AS DOUBLE) AS spend, p.style_name, p.prod_desc, p.sub_category, p.high_category,
+           coalesce(t.tags, '') AS tags
+    FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
+                 ORDER BY spend DESC, concat(style_id, ',', CAST(ref_id AS VARCHAR))) AS rank
+          FROM (SELECT customer_id, style_id, ref_id, sum(spend) AS spend FROM invoices GROUP BY 1, 2, 3)) rk
+    LEFT JOIN products p ON p.style_id = rk.style_id AND p.ref_id = rk.ref_id
+    LEFT JOIN item_tags t ON t.style_id = rk.style_id AND t.ref_id = rk.ref_id
+    WHERE rk.rank <= 20""", _ITEM_TAGS)
+
+oracle("customer_spend_stats", """
+    SELECT customer_id, CAST(sum(spend) AS DOUBLE) AS total_spend, count(*) AS lines,
+           round(CAST(sum(spend) AS DOUBLE) / count(*), 9) AS avg_spend
+    FROM invoices GROUP BY customer_id""")
+
+_LP = ("lp", """SELECT i.customer_id, p.* FROM invoices i
+                JOIN products p ON i.style_id = p.style_id AND i.ref_id = p.ref_id""")
+
+oracle("avg_style_year", """
+    SELECT customer_id, round(avg(pile_weight), 9) AS avg_pile_weight,
+           round(sum(pile_weight), 9) AS total_pile_weight,
+           round(avg(TRY_CAST(split_part(intro_date, '-', 1) AS DOUBLE)), 9) AS avg_style_year
+    FROM lp GROUP BY customer_id""", _LP)
+
+# --- categories and features --------------------------------------------------------
+
+
+def _dictionary(source: str, column: str) -> str:
+    return f"""SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS slot
+               FROM (SELECT DISTINCT coalesce({column}, '') AS value FROM {source})"""
+
+
+def _shares(source: str, column: str) -> str:
+    return f"""SELECT customer_id, value, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY customer_id) AS share
+               FROM (SELECT customer_id, coalesce({column}, '') AS value, count(*) AS n
+                     FROM {source} GROUP BY 1, 2)"""
+
+
+_LM = ("lm", """SELECT i.customer_id, m.mix FROM invoices i
+                JOIN mixes m ON i.style_id = m.style_id AND i.ref_id = m.ref_id""")
+_PRODUCT_CATEGORY = {"PROD_DESC": "prod_desc", "CHO_SUB_CAT": "sub_category", "CPT_HDS_OTH": "high_category"}
+_CUSTOMER_CATEGORY = {"channel": "channel", "CREDIT_TYPE": "credit_type", "SHWONL_FLAG": "online_flag"}
+
+oracle("category_dictionary", " UNION ALL ".join(
+    f"SELECT '{name}' AS dimension, value, slot FROM ({_dictionary('products', col)})"
+    for name, col in _PRODUCT_CATEGORY.items()))
+
+for _key, _col in (("category_share_desc", "prod_desc"), ("category_share_sub", "sub_category"),
+                   ("category_share_high", "high_category")):
+    oracle(_key, f"SELECT customer_id, value, round(share, 9) AS share FROM ({_shares('lp', _col)})", _LP)
+
+oracle("tag_share", f"SELECT customer_id, value, round(share, 9) AS share FROM ({_shares('lm', 'mix')})", _LM)
+
+oracle("customer_one_hot", " UNION ALL ".join(
+    f"""SELECT c.customer_id, '{name}' AS feature, d.value, d.slot
+        FROM customers c JOIN ({_dictionary('customers', col)}) d ON coalesce(c.{col}, '') = d.value"""
+    for name, col in _CUSTOMER_CATEGORY.items()))
+
+_HOUSE = ("house", """SELECT c.customer_id, TRY_CAST(replace(c.zip, ',', '') AS DOUBLE) AS zip_number,
+                             h.simple_life, h.family_life, h.elite, h.active_adult_elite, h.renters,
+                             c.common_customer, c.active_date, c.channel, c.credit_type, c.online_flag
+                      FROM customers c JOIN households h ON c.zip = h.geo_id""")
+
+oracle("household_features", """
+    SELECT customer_id, zip_number, simple_life, family_life, elite, active_adult_elite, renters FROM house""",
+       _HOUSE)
+
+_SCALAR_FEATURES = {
+    "Elite": "elite", "zip": "zip_number", "Renters": "renters",
+    "COMMON_CUSTOMER": "CAST(common_customer AS DOUBLE)", "StyleYear": "asy",
+    "Simple Life": "simple_life", "Family Life": "family_life", "Active Adult Elite": "active_adult_elite",
+    "PILE_WEIGHT": "apw", "AverageExpenditure": "aspend", "TotalExpenditure": "tspend",
+    "ACTIVE_DATE": "CASE WHEN active_date = '#N/A' THEN CAST(1946 AS DOUBLE) "
+                   "ELSE TRY_CAST(split_part(active_date, '/', 3) AS DOUBLE) END",
+}
+_SHARE_SOURCES = {"PROD_DESC": ("lp", "prod_desc", "products"), "CHO_SUB_CAT": ("lp", "sub_category", "products"),
+                  "CPT_HDS_OTH": ("lp", "high_category", "products"), "Mix": ("lm", "mix", "mixes")}
+
+
+def _feature_ctes() -> list[tuple[str, str]]:
+    ctes = [_LP, _LM, _HOUSE,
+            ("styles", """SELECT customer_id, avg(pile_weight) AS apw,
+                                 avg(TRY_CAST(split_part(intro_date, '-', 1) AS DOUBLE)) AS asy
+                          FROM lp GROUP BY customer_id"""),
+            ("spend_s", """SELECT customer_id, CAST(sum(spend) AS DOUBLE) AS tspend,
+                                  CAST(sum(spend) AS DOUBLE) / count(*) AS aspend
+                           FROM invoices GROUP BY customer_id""")]
+    for name, (src, col, dict_src) in _SHARE_SOURCES.items():
+        t = name.lower()
+        ctes.append((f"sh_{t}", _shares(src, col)))
+        ctes.append((f"dict_{t}", _dictionary(dict_src, col)))
+    for name, col in _CUSTOMER_CATEGORY.items():
+        ctes.append((f"dict_{name.lower()}", _dictionary("customers", col)))
+    having = " AND ".join(f"customer_id IN (SELECT customer_id FROM sh_{n.lower()})" for n in _SHARE_SOURCES)
+    ctes.append(("complete", f"""SELECT * FROM house JOIN styles USING (customer_id)
+                                 JOIN spend_s USING (customer_id) WHERE {having}"""))
+    parts = [f"SELECT customer_id, '{name}' AS feature, 0 AS slot, {expr} AS value FROM complete"
+             for name, expr in _SCALAR_FEATURES.items()]
+    for name in _SHARE_SOURCES:
+        t = name.lower()
+        parts.append(f"""SELECT c.customer_id, '{name}' AS feature, d.slot, coalesce(s.share, 0) AS value
+                         FROM complete c CROSS JOIN dict_{t} d
+                         LEFT JOIN sh_{t} s ON s.customer_id = c.customer_id AND s.value = d.value""")
+    for name, col in _CUSTOMER_CATEGORY.items():
+        parts.append(f"""SELECT c.customer_id, '{name}' AS feature, d.slot,
+                                CASE WHEN coalesce(c.{col}, '') = d.value THEN CAST(1 AS DOUBLE)
+                                     ELSE CAST(0 AS DOUBLE) END AS value
+                         FROM complete c CROSS JOIN dict_{name.lower()} d""")
+    ctes.append(("flong", " UNION ALL ".join(parts)))
+    ctes.append(("fstats", """SELECT feature, slot, avg(value) AS m, stddev_pop(value) AS s
+                              FROM flong GROUP BY feature, slot"""))
+    return ctes
+
+
+oracle("feature_zscore", """
+    SELECT customer_id, feature, CAST(slot AS INTEGER) AS slot,
+           round(CASE WHEN s <= 0 THEN value - m ELSE (value - m) / s END, 6) AS z
+    FROM flong JOIN fstats USING (feature, slot)""", *_feature_ctes())
