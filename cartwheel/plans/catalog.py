@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import functions as fn
-from ..operators import basket, features, postfilter, report
-from ..sources import warehouse
+from ..operators import basket, evaluate, factors, features, postfilter, report, segments, similarity, tune
+from ..session import checkpoint_dir, materialize, scratch_path
+from ..sources import sinks, warehouse
 from ..sources.mart import CUSTOMER, ITEM, REF, STYLE, load_mart
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,3 +246,277 @@ def feature_zscore(spark, sf_dir):
     z = features.zscore(features.feature_long(features.feature_arrays(m, names), names))
     # z-scores amplify float noise of mean and stddev: 6 digits are engine-stable
     return z.select(CUSTOMER, "feature", "slot", F.round(F.col("z"), 6).alias("z"))
+
+
+def r2(c):
+    return F.round(c, 2)
+
+
+# --- purchase graph (U1, R10-R12) -------------------------------------------
+
+@query("purchase_graph")
+def purchase_graph(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    e = similarity.edges(m)
+    c = e.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weight")).select(
+        F.concat(F.lit("c:"), F.col(CUSTOMER).cast("string")).alias("id"), "degree", "weight")
+    p = e.groupBy(STYLE, REF).agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weight")).select(
+        F.concat(F.lit("p:"), fn.item_key(STYLE, REF)).alias("id"), "degree", "weight")
+    return (similarity.vertices(m).join(c.unionByName(p), "id", "left")
+            .select("id", "name", "kind", F.coalesce(F.col("degree"), F.lit(0)).cast("bigint").alias("degree"),
+                    F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight")))
+
+
+@query("customer_cosine")
+def customer_cosine(spark, sf_dir):
+    e = similarity.edges(load_mart(spark, sf_dir))
+    c = similarity.customer_cosine(e)
+    return c.select(CUSTOMER, similarity.NEIGHBOUR, "dot", r9(F.col("cosine")).alias("cosine"))
+
+
+def graph_scores(m, per_line_norm=False):
+    e = similarity.edges(m)
+    cos = similarity.customer_cosine(e, per_line_norm=per_line_norm)
+    recs = similarity.graph_recommendations(e, cos)
+    # sums of similarity x spend are order-dependent in the last bits: cents
+    return recs.select(CUSTOMER, STYLE, r2(F.col("score")).alias("score"))
+
+
+@query("graph_recs")
+def graph_recs(spark, sf_dir):
+    return graph_scores(load_mart(spark, sf_dir))
+
+
+@query("graph_recs_line_norm")
+def graph_recs_line_norm(spark, sf_dir):
+    return graph_scores(load_mart(spark, sf_dir), per_line_norm=True)
+
+
+# --- segments with a stored centre table (T4, A12, R7-R9) -----------------------
+# The embeddings table stands in for a saved segment model: each row is a
+# centre, its first d components (d = width of the default feature vector)
+# scaled to the range of z-scores.
+
+CENTRE_SCALE = 10.0
+SEGMENT_FEATURES = features.DEFAULT_FEATURES
+
+
+def stored_segments(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    vec = features.feature_vectors(m, SEGMENT_FEATURES)
+    dim = vec.select(F.size("values")).first()[0]
+    emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    centres = segments.centres_from_table(emb, "vec_id", "embedding", dim, CENTRE_SCALE)
+    ranked = segments.rank_centres(vec, centres)
+    pops = segments.populations(ranked, centres)
+    return m, ranked, pops, centres
+
+
+@query("nearest_segment")
+def nearest_segment(spark, sf_dir):
+    _, ranked, _, _ = stored_segments(spark, sf_dir)
+    first = F.col("ranked")[0]
+    return ranked.select(CUSTOMER, first[segments.SEGMENT].alias("nearest"),
+                         F.round(first["d"], 6).alias("distance"))
+
+
+@query("segment_population")
+def segment_population(spark, sf_dir):
+    return stored_segments(spark, sf_dir)[2]
+
+
+def stored_assignment(spark, sf_dir):
+    m, ranked, pops, _ = stored_segments(spark, sf_dir)
+    return m, segments.assign_segments(ranked, pops)
+
+
+@query("segment_fallback")
+def segment_fallback(spark, sf_dir):
+    return stored_assignment(spark, sf_dir)[1]
+
+
+@query("segment_recs")
+def segment_recs(spark, sf_dir):
+    m, a = stored_assignment(spark, sf_dir)
+    return segments.segment_recommendations(m.invoices, a)
+
+
+# --- trained models (R3-R6, S12, S13): rows only ----------------------------------
+
+KMEANS_K, KMEANS_ITER, SEED = 100, 7, 42
+
+
+def kmeans_assignment(spark, m, k=KMEANS_K, max_iter=KMEANS_ITER, names=SEGMENT_FEATURES, seed=SEED):
+    vec = materialize(features.feature_vectors(m, names))
+    model = segments.train_kmeans(vec, k=k, max_iter=max_iter, seed=seed)
+    centres = segments.model_centres(spark, model)
+    ranked = segments.rank_centres(vec, centres)
+    return segments.assign_segments(ranked, segments.populations(ranked, centres)), model
+
+
+@query("kmeans_recs")
+def kmeans_recs(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    a, _ = kmeans_assignment(spark, m)
+    recs = segments.segment_recommendations(m.invoices, a)
+    recs = postfilter.exclude_recent(recs, m.invoices, months=-1)
+    return postfilter.top_k(recs, REPORT_K).select(CUSTOMER, F.col("rank").cast("int"), STYLE, "score")
+
+
+def als_recs(spark, sf_dir, implicit):
+    m = load_mart(spark, sf_dir)
+    params = factors.IMPLICIT_DEFAULTS if implicit else factors.EXPLICIT_DEFAULTS
+    checkpoint_dir(spark)
+    model = factors.fit_als(factors.ratings(m.invoices), params["rank"], params["max_iter"], params["reg"],
+                            seed=SEED, implicit=implicit, alpha=params.get("alpha", 1.0))
+    return m, factors.recommend(model, m.invoices, TOP_K)
+
+
+@query("als_explicit_recs")
+def als_explicit_recs(spark, sf_dir):
+    return als_recs(spark, sf_dir, implicit=False)[1]
+
+
+@query("als_implicit_recs")
+def als_implicit_recs(spark, sf_dir):
+    return als_recs(spark, sf_dir, implicit=True)[1]
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """Train both models, save them to the shared checkpoint folder, load them
+    back and use the loaded models: segment ids from the loaded K-means model
+    next to ALS predictions from the loaded pipeline."""
+    m = load_mart(spark, sf_dir)
+    vec = materialize(features.feature_vectors(m, SEGMENT_FEATURES))
+    km = segments.train_kmeans(vec, k=10, max_iter=5, seed=SEED)
+    kpath = scratch_path(spark, "kmeans")
+    segments.save_model(km, SEGMENT_FEATURES, kpath)
+    km2, names = segments.load_model(spark, kpath)
+    seg = km2.transform(features.feature_vectors(m, names)).select(CUSTOMER, F.col("prediction").alias("segment"))
+    r = factors.ratings(m.invoices)
+    als = factors.fit_als(r, rank=10, max_iter=5, reg=0.01, seed=SEED)
+    apath = scratch_path(spark, "als")
+    factors.save_model(als, apath)
+    pred = factors.predict(factors.load_model(apath), r.select(CUSTOMER, STYLE))
+    return pred.join(seg, CUSTOMER).select(CUSTOMER, "segment", STYLE, "score")
+
+
+# --- ratings and given factors (R2, R5) -----------------------------------------
+# The embeddings table stands in for a stored factor model: a customer's factor
+# is the first half of the vector with vec_id = customer id, a style's factor the
+# second half of the vector with vec_id = the style's dictionary index.
+
+FACTOR_DIM = 32
+
+
+@query("rating_table")
+def rating_table(spark, sf_dir):
+    return factors.ratings(load_mart(spark, sf_dir).invoices)
+
+
+@query("factor_scores")
+def factor_scores(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    r = factors.ratings(m.invoices)
+    emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    users = emb.select(F.col("vec_id").alias(CUSTOMER), F.slice("embedding", 1, FACTOR_DIM).alias("uf"))
+    idx = features.category_dictionary(r, STYLE).select(F.col("value").alias(STYLE), "slot")
+    items = (idx.join(emb, idx.slot == emb.vec_id)
+             .select(STYLE, F.slice("embedding", FACTOR_DIM + 1, FACTOR_DIM).alias("vf")))
+    p = factors.factor_predictions(r, users, items)
+    return p.select(CUSTOMER, STYLE, r9(F.col("score")).alias("score"))
+
+
+# --- evaluation (V1-V7) -------------------------------------------------------------
+
+def mba_suggestions(m):
+    s = basket.basket_scores(m.invoices)
+    return s.select(CUSTOMER, STYLE, r9(F.col("score")).alias("score"))
+
+
+@query("relevance_by_customer")
+def relevance_by_customer(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    v = evaluate.relevance_by_customer(mba_suggestions(m), m.invoices, m.products)
+    return v.select(CUSTOMER, F.col("n_suggestions").cast("bigint"), "earned",
+                    r9(F.col("relevance")).alias("relevance"))
+
+
+def _cohort_score(per_customer):
+    return evaluate.relevance_score(per_customer).select(
+        F.col("customers").cast("bigint"), r9(F.col("relevance")).alias("relevance"))
+
+
+@query("relevance_mba")
+def relevance_mba(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    return _cohort_score(evaluate.relevance_by_customer(mba_suggestions(m), m.invoices, m.products))
+
+
+@query("relevance_graph")
+def relevance_graph(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    return _cohort_score(evaluate.relevance_by_customer(graph_scores(m), m.invoices, m.products))
+
+
+@query("relevance_cf")
+def relevance_cf(spark, sf_dir):
+    """V5: explicit and implicit ALS scored in one query."""
+    m = load_mart(spark, sf_dir)
+    runs = tune.als_runs(m, [dict(factors.EXPLICIT_DEFAULTS, implicit=False),
+                             dict(factors.IMPLICIT_DEFAULTS, implicit=True)], seed=SEED)
+    return tune.score_runs(runs, m)
+
+
+@query("relevance_kmc")
+def relevance_kmc(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    runs = tune.kmeans_runs(spark, m, [dict(k=KMEANS_K, max_iter=KMEANS_ITER)], seed=SEED)
+    return tune.score_runs(runs, m)
+
+
+@query("sweep_kmeans")
+def sweep_kmeans(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    runs = tune.kmeans_runs(spark, m, tune.grid(k=[10, 20], max_iter=[2, 5]), seed=SEED)
+    return tune.score_runs(runs, m)
+
+
+@query("sweep_als")
+def sweep_als(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    runs = tune.als_runs(m, tune.grid(rank=[10, 20], max_iter=[5], reg=[0.01, 0.1], alpha=[0.01],
+                                      implicit=[True]), seed=SEED)
+    return tune.score_runs(runs, m)
+
+
+@query("sweep_features")
+def sweep_features(spark, sf_dir):
+    m = load_mart(spark, sf_dir)
+    subsets = tune.feature_subsets(["StyleYear", "AverageExpenditure", "CPT_HDS_OTH", "Mix"], 2)
+    runs = tune.kmeans_runs(spark, m, [dict(k=20, max_iter=5, names=s) for s in subsets], seed=SEED)
+    return tune.score_runs(runs, m)
+
+
+# --- reports and export (S10-S14, R14) ------------------------------------------------
+
+def filtered_segment_recs(spark, sf_dir):
+    m, a = stored_assignment(spark, sf_dir)
+    recs = segments.segment_recommendations(m.invoices, a)
+    recs = postfilter.exclude_recent(recs, m.invoices, RECENCY_MONTHS, AS_OF)
+    return m, postfilter.exclude_tags(recs, m.mixes, EXCLUDED_TAGS)
+
+
+@query("suggestion_report")
+def suggestion_report(spark, sf_dir):
+    m, recs = filtered_segment_recs(spark, sf_dir)
+    r = report.suggestion_report(recs, m.products, m.mixes, k=REPORT_K, is_money=True)
+    return r.withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("export_recommendations")
+def export_recommendations(spark, sf_dir):
+    m, recs = filtered_segment_recs(spark, sf_dir)
+    top = postfilter.top_k(postfilter.best_per_style(recs), REPORT_K)
+    return sinks.recommendation_rows(top)

@@ -326,3 +326,161 @@ oracle("feature_zscore", """
     SELECT customer_id, feature, CAST(slot AS INTEGER) AS slot,
            round(CASE WHEN s <= 0 THEN value - m ELSE (value - m) / s END, 6) AS z
     FROM flong JOIN fstats USING (feature, slot)""", *_feature_ctes())
+
+
+# --- purchase graph ---------------------------------------------------------------
+
+_EDGES = ("e", """SELECT i.customer_id, i.style_id, i.ref_id, i.spend FROM invoices i
+                  WHERE i.customer_id IN (SELECT customer_id FROM customers)
+                    AND EXISTS (SELECT 1 FROM products p WHERE p.style_id = i.style_id AND p.ref_id = i.ref_id)""")
+_W = ("w", "SELECT customer_id, style_id, ref_id, sum(spend) AS w FROM e GROUP BY 1, 2, 3")
+_NORM = ("nrm", "SELECT customer_id, sum(w * w) AS n2 FROM w GROUP BY 1")
+_NORM_LINE = ("nrm", "SELECT customer_id, sum(spend * spend) AS n2 FROM e GROUP BY 1")
+_DOTS = ("dots", """SELECT a.customer_id, c.customer_id AS neighbour_id, sum(a.w * c.w) AS dot
+                    FROM w a JOIN w c ON a.style_id = c.style_id AND a.ref_id = c.ref_id GROUP BY 1, 2""")
+_COS = ("cos", """SELECT d.customer_id, d.neighbour_id, CAST(d.dot AS DOUBLE) AS dot,
+                         CAST(d.dot AS DOUBLE) / (sqrt(CAST(na.n2 AS DOUBLE)) * sqrt(CAST(nc.n2 AS DOUBLE))) AS cosine
+                  FROM dots d JOIN nrm na ON na.customer_id = d.customer_id
+                  JOIN nrm nc ON nc.customer_id = d.neighbour_id""")
+_SP = ("sp", "SELECT customer_id, style_id, sum(spend) AS s FROM e GROUP BY 1, 2")
+_GRAPH = ("graph", """SELECT c.customer_id, sp.style_id, round(sum(c.cosine * CAST(sp.s AS DOUBLE)), 2) AS score
+                      FROM cos c JOIN sp ON sp.customer_id = c.neighbour_id
+                      WHERE c.customer_id <> c.neighbour_id GROUP BY 1, 2""")
+
+oracle("purchase_graph", """
+    SELECT v.id, v.name, v.kind, coalesce(d.degree, 0) AS degree,
+           coalesce(CAST(d.weight AS DOUBLE), CAST(0 AS DOUBLE)) AS weight
+    FROM (SELECT 'c:' || CAST(customer_id AS VARCHAR) AS id, name, 'customer' AS kind FROM customers
+          UNION ALL
+          SELECT 'p:' || style_id || ',' || CAST(ref_id AS VARCHAR), style_name, 'product' FROM products) v
+    LEFT JOIN (SELECT 'c:' || CAST(customer_id AS VARCHAR) AS id, count(*) AS degree, sum(spend) AS weight
+               FROM e GROUP BY customer_id
+               UNION ALL
+               SELECT 'p:' || style_id || ',' || CAST(ref_id AS VARCHAR), count(*), sum(spend)
+               FROM e GROUP BY style_id, ref_id) d ON d.id = v.id""", _EDGES)
+
+oracle("customer_cosine", "SELECT customer_id, neighbour_id, dot, round(cosine, 9) AS cosine FROM cos",
+       _EDGES, _W, _NORM, _DOTS, _COS)
+
+oracle("graph_recs", "SELECT * FROM graph", _EDGES, _W, _NORM, _DOTS, _COS, _SP, _GRAPH)
+
+oracle("graph_recs_line_norm", "SELECT * FROM graph", _EDGES, _W, _NORM_LINE, _DOTS, _COS, _SP, _GRAPH)
+
+# --- segments over the stored centre table ------------------------------------------
+
+_SEGMENT_CTES = _feature_ctes() + [
+    ("zv", """SELECT customer_id,
+                     CASE feature WHEN 'StyleYear' THEN 0 WHEN 'AverageExpenditure' THEN 1 ELSE 2 + slot END AS j,
+                     CASE WHEN s <= 0 THEN value - m ELSE (value - m) / s END AS z
+              FROM flong JOIN fstats USING (feature, slot)
+              WHERE feature IN ('StyleYear', 'AverageExpenditure', 'CPT_HDS_OTH')"""),
+    ("cen", """SELECT CAST(vec_id AS INTEGER) AS segment, j.j,
+                      CAST(embedding[j.j + 1] AS DOUBLE) * CAST(10 AS DOUBLE) AS c
+               FROM embeddings CROSS JOIN (SELECT DISTINCT j FROM zv) j"""),
+    ("dist", """SELECT z.customer_id, c.segment, sum((z.z - c.c) * (z.z - c.c)) AS d
+                FROM zv z JOIN cen c ON c.j = z.j GROUP BY 1, 2"""),
+    ("ranked", """SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY d, segment) AS rk FROM dist"""),
+    ("nearest", "SELECT customer_id, segment AS nearest, d FROM ranked WHERE rk = 1"),
+    ("pop", """SELECT CAST(e.vec_id AS INTEGER) AS segment, count(n.customer_id) AS population
+               FROM embeddings e LEFT JOIN nearest n ON n.nearest = e.vec_id GROUP BY 1"""),
+    ("eff", """SELECT r.customer_id, min(r.rk) AS rk FROM ranked r JOIN pop p ON p.segment = r.segment
+               WHERE p.population > 5 GROUP BY 1"""),
+    ("assign", """SELECT n.customer_id, n.nearest, r.segment, CAST(e.rk - 1 AS INTEGER) AS fallback_rank
+                  FROM eff e JOIN ranked r ON r.customer_id = e.customer_id AND r.rk = e.rk
+                  JOIN nearest n ON n.customer_id = e.customer_id"""),
+    ("own", "SELECT customer_id, style_id, sum(spend) AS s FROM invoices GROUP BY 1, 2"),
+    # literal definition: the spend of the other members of the customer's segment
+    ("segrecs", """SELECT a.customer_id, o.style_id, CAST(sum(o.s) AS DOUBLE) AS score
+                   FROM assign a JOIN nearest m ON m.nearest = a.segment AND m.customer_id <> a.customer_id
+                   JOIN own o ON o.customer_id = m.customer_id GROUP BY 1, 2"""),
+]
+
+oracle("nearest_segment", "SELECT customer_id, nearest, round(d, 6) AS distance FROM nearest", *_SEGMENT_CTES)
+oracle("segment_population", "SELECT * FROM pop", *_SEGMENT_CTES)
+oracle("segment_fallback", "SELECT * FROM assign", *_SEGMENT_CTES)
+oracle("segment_recs", "SELECT * FROM segrecs", *_SEGMENT_CTES)
+
+_FILTERED = ("filtered", f"""
+    SELECT * FROM segrecs r
+    WHERE NOT EXISTS (SELECT 1 FROM invoices i WHERE i.customer_id = r.customer_id AND i.style_id = r.style_id
+                        AND i.invoice_date >= {_CUTOFF})
+      AND NOT EXISTS (SELECT 1 FROM mixes m WHERE m.style_id = r.style_id AND m.mix IN ('MIX_2', 'MIX_7'))""")
+_ATTR = ("attr", """SELECT style_id, style_name, prod_desc, sub_category, high_category FROM (
+                        SELECT *, row_number() OVER (PARTITION BY style_id ORDER BY ref_id) AS rn FROM products)
+                    WHERE rn = 1""")
+_STYLE_TAGS = ("stags", """SELECT style_id, array_to_string(list_sort(list_distinct(list(mix))), ',') AS tags
+                           FROM mixes GROUP BY style_id""")
+
+oracle("suggestion_report", """
+    SELECT t.customer_id, CAST(t.rk AS INTEGER) AS rank, t.style_id, a.style_name, a.prod_desc,
+           a.sub_category, a.high_category, coalesce(g.tags, '') AS tags, t.score,
+           printf('$%.2f', t.score) AS score_text
+    FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, style_id) AS rk
+          FROM filtered) t
+    JOIN attr a ON a.style_id = t.style_id
+    LEFT JOIN stags g ON g.style_id = t.style_id
+    WHERE t.rk <= 20""", *_SEGMENT_CTES, _FILTERED, _ATTR, _STYLE_TAGS)
+
+oracle("export_recommendations", """
+    SELECT CAST(customer_id AS INTEGER) AS CustomerID, style_id AS SellingStyleNo, score AS Score
+    FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, style_id) AS rk
+          FROM (SELECT customer_id, style_id, max(score) AS score FROM filtered GROUP BY 1, 2))
+    WHERE rk <= 20""", *_SEGMENT_CTES, _FILTERED)
+
+# --- ratings and given factors -----------------------------------------------------------
+
+_RATINGS = ("r", "SELECT customer_id, style_id, CAST(sum(spend) AS DOUBLE) AS rating FROM invoices GROUP BY 1, 2")
+
+oracle("rating_table", "SELECT * FROM r", _RATINGS)
+
+oracle("factor_scores", """
+    SELECT r.customer_id, r.style_id,
+           round(list_sum(list_transform(range(32),
+                 lambda k: CAST(u.embedding[k + 1] AS DOUBLE) * CAST(v.embedding[33 + k] AS DOUBLE))), 9) AS score
+    FROM r
+    JOIN embeddings u ON u.vec_id = r.customer_id
+    JOIN (SELECT style_id, dense_rank() OVER (ORDER BY style_id) - 1 AS slot
+          FROM (SELECT DISTINCT style_id FROM r)) idx ON idx.style_id = r.style_id
+    JOIN embeddings v ON v.vec_id = idx.slot""", _RATINGS)
+
+# --- relevance score ------------------------------------------------------------------------
+
+
+def _relevance_ctes(suggestions: str) -> list[tuple[str, str]]:
+    return [
+        ("s1", f"""SELECT customer_id, style_id, max(score) AS score FROM {suggestions} s
+                   WHERE NOT EXISTS (SELECT 1 FROM invoices i WHERE i.customer_id = s.customer_id
+                                     AND i.style_id = s.style_id)
+                   GROUP BY 1, 2"""),
+        ("top", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
+                                         ORDER BY score DESC, style_id) AS rk FROM s1) WHERE rk <= 10"""),
+        _ATTR,
+        ("bought", """SELECT DISTINCT i.customer_id, p.prod_desc, p.sub_category, p.high_category
+                      FROM invoices i JOIN products p ON p.style_id = i.style_id"""),
+        ("scored", """SELECT t.customer_id, t.style_id,
+                 CASE WHEN EXISTS (SELECT 1 FROM bought b WHERE b.customer_id = t.customer_id
+                                   AND b.prod_desc = a.prod_desc) THEN CAST(1 AS DOUBLE)
+                      WHEN EXISTS (SELECT 1 FROM bought b WHERE b.customer_id = t.customer_id
+                                   AND b.sub_category = a.sub_category) THEN CAST(0.75 AS DOUBLE)
+                      WHEN EXISTS (SELECT 1 FROM bought b WHERE b.customer_id = t.customer_id
+                                   AND b.high_category = a.high_category) THEN CAST(0.5 AS DOUBLE)
+                      ELSE CAST(0 AS DOUBLE) END AS earn
+                 FROM top t LEFT JOIN attr a ON a.style_id = t.style_id"""),
+        ("per_customer", """SELECT customer_id, count(*) AS n_suggestions, sum(earn) AS earned,
+                                   sum(earn) * 100 / count(*) AS relevance
+                            FROM scored GROUP BY customer_id"""),
+    ]
+
+
+_MBA_CTES = [_F, _N, _K, _CAND, _MBA]
+_GRAPH_CTES = [_EDGES, _W, _NORM, _DOTS, _COS, _SP, _GRAPH]
+
+oracle("relevance_by_customer", """
+    SELECT customer_id, n_suggestions, earned, round(relevance, 9) AS relevance FROM per_customer""",
+       *_MBA_CTES, *_relevance_ctes("mba"))
+
+oracle("relevance_mba", "SELECT count(*) AS customers, round(avg(relevance), 9) AS relevance FROM per_customer",
+       *_MBA_CTES, *_relevance_ctes("mba"))
+
+oracle("relevance_graph", "SELECT count(*) AS customers, round(avg(relevance), 9) AS relevance FROM per_customer",
+       *_GRAPH_CTES, *_relevance_ctes("graph"))

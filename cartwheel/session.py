@@ -53,6 +53,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage, for
+    inputs that an iterative fit and several later steps read again."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     base = checkpoint_dir(spark)
