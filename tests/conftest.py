@@ -1,0 +1,68 @@
+import datetime as dt
+import os
+import sys
+import tempfile
+from decimal import Decimal
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from cartwheel.session import build_session  # noqa: E402
+from cartwheel.sources.mart import Mart  # noqa: E402
+
+SF_SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    scratch = tempfile.mkdtemp(prefix="cartwheel-tests-")
+    s = build_session(master="local[4]", shuffle_partitions=4, driver_memory="8g", extra={
+        "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
+        "spark.checkpoint.dir": os.path.join(scratch, "checkpoints"),
+    })
+    yield s
+
+
+@pytest.fixture(scope="session")
+def golden(spark):
+    """The 9-line mini mart of FIXTURES.md section 3."""
+    lines = [
+        (1, "A", 0, "2016-01-10", 2, 10), (1, "B", 0, "2016-03-05", 1, 5),
+        (2, "A", 0, "2016-02-01", 1, 10), (2, "C", 0, "2016-02-02", 3, 4),
+        (3, "A", 0, "2016-04-01", 1, 10), (3, "B", 0, "2016-04-02", 2, 5),
+        (3, "C", 1, "2016-05-01", 1, 4), (4, "D", 0, "2016-06-01", 1, 7),
+        (1, "A", 0, "2016-06-15", 1, 10),
+    ]
+    invoices = spark.createDataFrame(
+        [(c, s, r, dt.date.fromisoformat(d), float(q), float(p), Decimal(q * p).quantize(Decimal("0.01")))
+         for c, s, r, d, q, p in lines],
+        "customer_id long, style_id string, ref_id int, invoice_date date, quantity double, "
+        "unit_price double, spend decimal(18,2)")
+    products = spark.createDataFrame([
+        ("A", 0, "Hardwood Plank", "Hardwood Plank", "Hardwood", "HDS", 1.0, "2014-01-01", "A"),
+        ("B", 0, "Stone Tile", "Stone Tile", "Stone", "HDS", 2.0, "2015-01-01", "A"),
+        ("C", 0, "Oak Strip", "Oak Strip", "Hardwood", "HDS", 3.0, "2016-01-01", "A"),
+        ("C", 1, "Oak Strip", "Oak Strip", "Hardwood", "HDS", 3.0, "2016-01-01", "A"),
+        ("D", 0, "Carpet Roll", "Carpet Roll", "Carpet", "CPT", 4.0, "2013-01-01", "A"),
+    ], "style_id string, ref_id int, style_name string, prod_desc string, sub_category string, "
+       "high_category string, pile_weight double, intro_date string, status string")
+    mixes = spark.createDataFrame([("A", 0, "m1"), ("B", 0, "m1"), ("B", 0, "m2"), ("C", 0, "m3")],
+                                  "style_id string, ref_id int, mix string")
+    customers = spark.createDataFrame(
+        [(i, f"Customer {i}", "A", "1", i % 3, "RETAIL" if i % 2 else "TRADE", None if i == 4 else "LOW",
+          str(i % 2), "#N/A" if i == 4 else f"1/{i}/2015") for i in (1, 2, 3, 4)],
+        "customer_id long, name string, status string, zip string, common_customer int, channel string, "
+        "credit_type string, online_flag string, active_date string")
+    households = spark.createDataFrame([("1", "1,000", "2,000", "3,000", "4,000", "5,000")],
+                                       "geo_id string, simple_life string, family_life string, elite string, "
+                                       "active_adult_elite string, renters string")
+    return Mart(customers=customers, invoices=invoices, households=households, products=products, mixes=mixes)
+
+
+def rows(df, *cols, digits=6):
+    """Sorted tuples of the given columns, floats rounded."""
+    out = []
+    for r in df.select(*cols).collect():
+        out.append(tuple(round(v, digits) if isinstance(v, float) else v for v in r))
+    return sorted(out, key=repr)
