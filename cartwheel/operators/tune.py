@@ -65,8 +65,7 @@ def kmeans_runs(spark: SparkSession, mart: Mart, param_sets: list[dict], seed: i
         vec = vectors[names]
         model = segments.train_kmeans(vec, k=p["k"], max_iter=p["max_iter"], seed=seed)
         centres = segments.model_centres(spark, model)
-        ranked = segments.rank_centres(vec, centres)
-        assigned = segments.assign_segments(ranked, segments.populations(ranked, centres))
+        assigned = segments.segment_model(vec, centres)[2]
         recs = segments.segment_recommendations(mart.invoices, assigned)
         out.append((p, _top_unowned(recs, mart.invoices)))
     return _write_runs(spark, "kmeans-runs", out)

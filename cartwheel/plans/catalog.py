@@ -307,9 +307,8 @@ def stored_segments(spark, sf_dir):
     dim = vec.select(F.size("values")).first()[0]
     emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
     centres = segments.centres_from_table(emb, "vec_id", "embedding", dim, CENTRE_SCALE)
-    ranked = segments.rank_centres(vec, centres)
-    pops = segments.populations(ranked, centres)
-    return m, ranked, pops, centres
+    ranked, pops, assignment = segments.segment_model(vec, centres)
+    return m, ranked, pops, assignment
 
 
 @query("nearest_segment")
@@ -326,8 +325,8 @@ def segment_population(spark, sf_dir):
 
 
 def stored_assignment(spark, sf_dir):
-    m, ranked, pops, _ = stored_segments(spark, sf_dir)
-    return m, segments.assign_segments(ranked, pops)
+    m, _, _, assignment = stored_segments(spark, sf_dir)
+    return m, assignment
 
 
 @query("segment_fallback")
@@ -350,8 +349,7 @@ def kmeans_assignment(spark, m, k=KMEANS_K, max_iter=KMEANS_ITER, names=SEGMENT_
     vec = materialize(features.feature_vectors(m, names))
     model = segments.train_kmeans(vec, k=k, max_iter=max_iter, seed=seed)
     centres = segments.model_centres(spark, model)
-    ranked = segments.rank_centres(vec, centres)
-    return segments.assign_segments(ranked, segments.populations(ranked, centres)), model
+    return segments.segment_model(vec, centres)[2], model
 
 
 @query("kmeans_recs")
