@@ -16,7 +16,8 @@ def best_per_style(suggestions: DataFrame, score: str = "score",
 
 
 def exclude_recent(suggestions: DataFrame, invoices: DataFrame, months: int,
-                   as_of: str | None = None, any_old_purchase: bool = False) -> DataFrame:
+                   as_of: str | None = None, any_old_purchase: bool = False,
+                   broadcast_rows: int | None = None) -> DataFrame:
     """Drop styles the customer bought.
 
     ``months <= 0``: every style the customer ever bought is dropped.
@@ -24,6 +25,10 @@ def exclude_recent(suggestions: DataFrame, invoices: DataFrame, months: int,
     (a purchase strictly before the cutoff is old). With ``any_old_purchase`` a
     style is kept as soon as one purchase of it is old, even if it was bought
     again recently.
+
+    With ``broadcast_rows``, the blocked (customer, style) pairs are broadcast
+    when their count passes that bound, so a large suggestion list keeps its
+    partitioning instead of being shuffled for the anti join.
     """
     bought = invoices.select(CUSTOMER, STYLE, "invoice_date")
     if months <= 0:
@@ -37,6 +42,10 @@ def exclude_recent(suggestions: DataFrame, invoices: DataFrame, months: int,
                        .filter(F.col("first") >= cutoff).select(CUSTOMER, STYLE))
         else:
             blocked = bought.filter(F.col("invoice_date") >= cutoff).select(CUSTOMER, STYLE)
+    if broadcast_rows:
+        blocked = blocked.distinct()
+        if blocked.count() <= broadcast_rows:
+            blocked = F.broadcast(blocked)
     return suggestions.join(blocked, [CUSTOMER, STYLE], "left_anti")
 
 

@@ -69,10 +69,9 @@ def mba_scores(spark, sf_dir):
 
 
 def mba_top(spark, sf_dir, k=TOP_K):
-    m, s = _mba_scores(spark, sf_dir)
-    s = postfilter.exclude_recent(s, m.invoices, months=-1)
-    s = postfilter.best_per_style(s)
-    return postfilter.top_k(s, k).select(CUSTOMER, F.col("rank").cast("int"), STYLE, "score")
+    m = load_mart(spark, sf_dir)
+    top = basket.basket_top_k(m.invoices, k, score_digits=9)
+    return top.select(CUSTOMER, F.col("rank").cast("int"), STYLE, "score")
 
 
 @query("mba_top10")
@@ -429,8 +428,9 @@ def factor_scores(spark, sf_dir):
 # --- evaluation (V1-V7) -------------------------------------------------------------
 
 def mba_suggestions(m):
-    s = basket.basket_scores(m.invoices)
-    return s.select(CUSTOMER, STYLE, r9(F.col("score")).alias("score"))
+    """The relevance score only looks at each customer's top 10 unowned
+    styles, so the top-10 plan gives the same score as the full list."""
+    return basket.basket_top_k(m.invoices, TOP_K, score_digits=9).select(CUSTOMER, STYLE, "score")
 
 
 @query("relevance_by_customer")
