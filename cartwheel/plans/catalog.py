@@ -306,16 +306,14 @@ def stored_segments(spark, sf_dir):
     dim = vec.select(F.size("values")).first()[0]
     emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
     centres = segments.centres_from_table(emb, "vec_id", "embedding", dim, CENTRE_SCALE)
-    ranked, pops, assignment = segments.segment_model(vec, centres)
-    return m, ranked, pops, assignment
+    nearest, pops, assignment = segments.segment_model(vec, centres)
+    return m, nearest, pops, assignment
 
 
 @query("nearest_segment")
 def nearest_segment(spark, sf_dir):
-    _, ranked, _, _ = stored_segments(spark, sf_dir)
-    first = F.col("ranked")[0]
-    return ranked.select(CUSTOMER, first[segments.SEGMENT].alias("nearest"),
-                         F.round(first["d"], 6).alias("distance"))
+    _, nearest, _, _ = stored_segments(spark, sf_dir)
+    return nearest.select(CUSTOMER, "nearest", F.round("distance", 6).alias("distance"))
 
 
 @query("segment_population")

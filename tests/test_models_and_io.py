@@ -61,12 +61,20 @@ def test_fallback_walks_to_populated_segment(spark):
     vec = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate([0, 0.1, 0.2, 0.3, 0.4, 0.5, 9.0])],
                                 "customer_id long, values array<double>")
     centres = spark.createDataFrame([(0, [0.0]), (1, [10.0])], "segment int, centre array<double>")
-    ranked = segments.rank_centres(vec, centres)
-    pops = {r.segment: r.population for r in segments.populations(ranked, centres).collect()}
+    near, pops_df, assigned = segments.segment_model(vec, centres)
+    pops = {r.segment: r.population for r in pops_df.collect()}
     assert pops == {0: 6, 1: 1}
-    a = {r.customer_id: (r.nearest, r.segment, r.fallback_rank)
-         for r in segments.assign_segments(ranked, segments.populations(ranked, centres)).collect()}
+    a = {r.customer_id: (r.nearest, r.segment, r.fallback_rank) for r in assigned.collect()}
     assert a[6] == (1, 0, 1) and a[0] == (0, 0, 0)
+    # the distributed path for large models gives the same answer
+    old = segments.MAX_INLINE_CENTRES
+    segments.MAX_INLINE_CENTRES = 0
+    try:
+        b = {r.customer_id: (r.nearest, r.segment, r.fallback_rank)
+             for r in segments.assign_segments(vec, centres, pops_df).collect()}
+    finally:
+        segments.MAX_INLINE_CENTRES = old
+    assert b == a
 
 
 def test_csv_round_trip(mart, spark):
