@@ -453,7 +453,8 @@ def relevance_mba(spark, sf_dir):
 @query("relevance_graph")
 def relevance_graph(spark, sf_dir):
     m = load_mart(spark, sf_dir)
-    return _cohort_score(evaluate.relevance_by_customer(graph_scores(m), m.invoices, m.products))
+    return _cohort_score(evaluate.relevance_by_customer(graph_scores(m), m.invoices, m.products,
+                                                        broadcast_rows=basket.BROADCAST_ROWS))
 
 
 @query("relevance_cf")
