@@ -27,7 +27,7 @@ HEADLINE = [
     "segment_recs",
     "feature_zscore",
     "als_explicit_recs",
-    "relevance_graph",
+    "purchase_graph",
     "customer_top_purchases",
     "recency_exclusion",
     "category_share_desc",
