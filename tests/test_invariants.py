@@ -93,3 +93,28 @@ def test_salted_join_equals_plain_join(spark):
         sorted(map(tuple, plain.select("k", "v", "w").collect()))
     left = salted_join(big, other.filter("k < 10"), ["k"], salt_by=["v"], how="left", skew=skew)
     assert left.count() == big.join(other.filter("k < 10"), "k", "left").count()
+
+
+def test_broadcast_and_shuffle_plans_agree(mart):
+    """The size-checked broadcast plans and the salted shuffle fallbacks give
+    the same rows."""
+    a = basket.basket_scores(mart.invoices)
+    b = basket.basket_scores(mart.invoices, broadcast_rows=None)
+    ra = sorted((r.customer_id, r.style_id, r.ref_id, round(r.score, 12)) for r in a.collect())
+    rb = sorted((r.customer_id, r.style_id, r.ref_id, round(r.score, 12)) for r in b.collect())
+    assert ra == rb
+    e = similarity.edges(mart)
+    cos = similarity.customer_cosine(e)
+    g1 = similarity.graph_recommendations(e, cos)
+    g2 = similarity.graph_recommendations(e, cos, broadcast_rows=None)
+    r1 = sorted((r.customer_id, r.style_id, round(r.score, 6)) for r in g1.collect())
+    r2 = sorted((r.customer_id, r.style_id, round(r.score, 6)) for r in g2.collect())
+    assert r1 == r2
+
+
+def test_top_k_plan_equals_filtered_full_scores(mart):
+    full = basket.basket_scores(mart.invoices).withColumn("score", F.round("score", 9))
+    full = postfilter.top_k(postfilter.best_per_style(postfilter.exclude_recent(full, mart.invoices, -1)), 10)
+    fast = basket.basket_top_k(mart.invoices, 10, score_digits=9)
+    key = lambda df: sorted((r.customer_id, r.rank, r.style_id, r.score) for r in df.collect())
+    assert key(full.select("customer_id", "rank", "style_id", "score")) == key(fast)
