@@ -107,9 +107,10 @@ def test_broadcast_and_shuffle_plans_agree(mart):
     cos = similarity.customer_cosine(e)
     g1 = similarity.graph_recommendations(e, cos)
     g2 = similarity.graph_recommendations(e, cos, broadcast_rows=None)
-    r1 = sorted((r.customer_id, r.style_id, round(r.score, 6)) for r in g1.collect())
-    r2 = sorted((r.customer_id, r.style_id, round(r.score, 6)) for r in g2.collect())
-    assert r1 == r2
+    r1 = {(r.customer_id, r.style_id): r.score for r in g1.collect()}
+    r2 = {(r.customer_id, r.style_id): r.score for r in g2.collect()}
+    assert r1.keys() == r2.keys()      # sums differ only in summation order
+    assert all(abs(r1[k] - r2[k]) <= 1e-9 * max(1.0, abs(r1[k])) for k in r1)
 
 
 def test_top_k_plan_equals_filtered_full_scores(mart):
