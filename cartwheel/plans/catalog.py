@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import functions as fn
 from ..operators import basket, evaluate, factors, features, postfilter, report, segments, similarity, tune
 from ..session import checkpoint_dir, materialize, scratch_path
-from ..sources import sinks, warehouse
+from ..sources import files, sinks, warehouse
 from ..sources.mart import CUSTOMER, ITEM, REF, STYLE, load_mart
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,3 +517,26 @@ def export_recommendations(spark, sf_dir):
     m, recs = filtered_segment_recs(spark, sf_dir)
     top = postfilter.top_k(postfilter.best_per_style(recs), REPORT_K)
     return sinks.recommendation_rows(top)
+
+
+# --- reference-layout CSV files (S1, S6, S9) -------------------------------------
+
+def file_mart(spark, sf_dir):
+    """The mart written as the reference's five CSV files into the shared
+    folder, then read back with declared schemas and the source filters."""
+    path = scratch_path(spark, "csv-mart")
+    files.write_file_mart(load_mart(spark, sf_dir), path)
+    return files.read_file_mart(spark, path)
+
+
+@query("csv_spend_stats")
+def csv_spend_stats(spark, sf_dir):
+    s = features.spend_stats(file_mart(spark, sf_dir).invoices)
+    return s.select(CUSTOMER, "total_spend", F.col("lines").cast("bigint"),
+                    r9(F.col("avg_spend")).alias("avg_spend"))
+
+
+@query("csv_household_features")
+def csv_household_features(spark, sf_dir):
+    m = file_mart(spark, sf_dir)
+    return features.customer_households(m.customers, m.households)

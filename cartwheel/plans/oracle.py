@@ -484,3 +484,9 @@ oracle("relevance_mba", "SELECT count(*) AS customers, round(avg(relevance), 9)
 
 oracle("relevance_graph", "SELECT count(*) AS customers, round(avg(relevance), 9) AS relevance FROM per_customer",
        *_GRAPH_CTES, *_relevance_ctes("graph"))
+
+
+# --- reference-layout CSV round trip: same definitions as the direct queries ----------
+
+ORACLE["csv_spend_stats"] = ORACLE["customer_spend_stats"]
+ORACLE["csv_household_features"] = ORACLE["household_features"]
