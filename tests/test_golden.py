@@ -103,3 +103,21 @@ def test_text_formats(spark):
     df = spark.createDataFrame([(1234.5, 0.123456789, 37.5)], "m double, s double, p double")
     r = df.select(fn.money("m"), fn.score_text("s"), fn.percent_text("p")).first()
     assert tuple(r) == ("$1234.50", "0.1235", "37.5%")
+
+
+def test_cohort_restricts_targets_only(golden, spark):
+    cohort = spark.createDataFrame([(1,)], "customer_id long")
+    one = basket.basket_scores(golden.invoices, cohort=cohort)
+    assert {r.customer_id for r in one.collect()} == {1}
+    assert rows(one, "style_id", "ref_id", "score") == [
+        ("A", 0, 0.583333), ("B", 0, 0.416667), ("C", 0, 0.333333), ("C", 1, 0.416667)]
+    e = similarity.edges(golden)
+    cos = similarity.customer_cosine(e, cohort=cohort)
+    assert rows(cos, "customer_id", "neighbour_id", "cosine") == [(1, 1, 1.0), (1, 2, 0.631474), (1, 3, 0.783015)]
+
+
+def test_graph_best_single_line(golden):
+    e = similarity.edges(golden)
+    recs = similarity.graph_recommendations(e, similarity.customer_cosine(e), agg="max")
+    # neighbour 2 bought C for 12, neighbour 3 for 4: the best line is 12 x 0.631474
+    assert rows(recs.filter("customer_id = 1 AND style_id = 'C'"), "score") == [(7.577688,)]
