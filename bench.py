@@ -40,15 +40,23 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session(master=f"local[{cpus}]", app="cartwheel-bench",
                           shuffle_partitions=max(8, 4 * cpus), driver_memory="24g")
-    times = {}
+    times, errors = {}, {}
     for name in names:
         t0 = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as e:  # report and go on: one failure must not hide the others
+            times[name] = None
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "headline_queries_total_wall", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir}))
+    out = {"metric": "headline_queries_total_wall",
+           "value": round(sum(t for t in times.values() if t is not None), 3),
+           "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
