@@ -268,13 +268,15 @@ def purchase_graph(spark, sf_dir):
 
 @query("customer_cosine")
 def customer_cosine(spark, sf_dir):
-    e = similarity.edges(load_mart(spark, sf_dir))
+    e = materialize(similarity.edges(load_mart(spark, sf_dir)))
     c = similarity.customer_cosine(e)
     return c.select(CUSTOMER, similarity.NEIGHBOUR, "dot", r9(F.col("cosine")).alias("cosine"))
 
 
 def graph_scores(m, per_line_norm=False):
-    e = similarity.edges(m)
+    # the edge table is read by weights, norms, spend and the size estimate:
+    # derive it once (a join of lines and orders plus two semi-joins)
+    e = materialize(similarity.edges(m))
     cos = similarity.customer_cosine(e, per_line_norm=per_line_norm)
     recs = similarity.graph_recommendations(e, cos)
     # sums of similarity x spend are order-dependent in the last bits: cents
