@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,44 +34,35 @@ def build_session(master: str = "local[8]", app: str = "cartwheel",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and model artefacts.
+    """The shared folder for intermediate tables and model artefacts: the
+    session's ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only a
-    local-mode session without one gets a fresh scratch folder; a cluster job
-    without a shared folder is refused rather than writing to a machine-local path.
+    Only a local-mode session without that setting gets a fresh scratch folder; a
+    cluster job without it is refused rather than writing to a machine-local path.
     """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not sc.master.startswith("local"):
+    if conf:
+        return conf.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this job")
-        conf = tempfile.mkdtemp(prefix="cartwheel-ckpt-")
-    sc.setCheckpointDir(conf)
-    return sc._jsc.sc().getCheckpointDir().get()
+        _local_dirs[app] = tempfile.mkdtemp(prefix="cartwheel-shared-")
+    return _local_dirs[app]
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage, for
-    inputs that an iterative fit and several later steps read again."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_local_dirs: dict[str, str] = {}
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    stamp = f"{os.getpid()}-{next(_counter)}"
-    return f"{base.rstrip('/')}/{name}-{stamp}"
-
+def materialize(df, name: str = "table"):
+    """``df`` written once as Parquet in the shared folder and read back: cuts its
+    lineage with a file that every executor sees and that survives lost executors,
+    and keeps column pruning and statistics for the steps that read it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
 
-
-_counter = _count()
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder of the shared folder, never used before by any job."""
+    return f"{checkpoint_dir(spark)}/cartwheel/{name}-{uuid.uuid4().hex}"
