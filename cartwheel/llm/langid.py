@@ -11,6 +11,7 @@ import re
 import sys
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
+#: Texts cut into words at a time.
+TEXTS = 256
+#: Sampled ids (a long and a language code each) up to which the sample is broadcast.
+BROADCAST_IDS = 200_000
 UNDETERMINED = "und"
 #: A language is a candidate for a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.01
@@ -48,9 +53,10 @@ def script(char: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """The word in marks and its character n-grams of one to three characters."""
+    """The word in marks and its character n-grams of two and three characters."""
     w = f"<{word}>"
-    return [w, *word] + [w[i:i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
+    n = len(w)
+    return [w, *[w[i:i + 2] for i in range(n - 1)], *[w[i:i + 3] for i in range(n - 2)]]
 
 
 @dataclass
@@ -94,15 +100,17 @@ def _counts(rows: DataFrame) -> DataFrame:
     return part.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, per_lang: int = 3_000, features: int = 60_000) -> Model:
+def train(docs: DataFrame, per_lang: int = 1_500, features: int = 60_000) -> Model:
     """Learn from at most ``per_lang`` rows of each language (the documented bound of
     the sample; the first by a hash of the id) and keep the ``features`` most frequent
     n-grams. Rows with null text or lang teach nothing. Without rows the model knows
     no language."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.filter("lang is not null and text is not null")
-    some = (known.select("doc_id", "lang").withColumn("r", F.row_number().over(order))
-            .filter(F.col("r") <= per_lang).select("doc_id", "lang").distinct())
+    some = materialize(known.select("doc_id", "lang").withColumn("r", F.row_number().over(order))
+                       .filter(F.col("r") <= per_lang).select("doc_id", "lang").distinct(), "language-sample")
+    if some.count() <= BROADCAST_IDS:
+        some = F.broadcast(some)
     rows = known.select("doc_id", "lang", "text").join(some, ["doc_id", "lang"], "left_semi").select("text", "lang")
     counts = materialize(_counts(rows), "language-counts")
     totals = {r["lang"]: r["n"] for r in counts.filter("kind = 'g'").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -140,15 +148,18 @@ def word_scores(words: list[str], m: Model) -> np.ndarray:
     do not use a word's script get ``EXCLUDED``; a script of no language, and a word
     of unknown n-grams alone, say nothing (0)."""
     n, langs = len(words), len(m.langs)
-    known = [[i for g in grams(w) if (i := m.index.get(g)) is not None] for w in words]
-    sums = np.zeros((n, langs))
-    np.add.at(sums, np.repeat(np.arange(n), [len(k) for k in known]),
-              m.logp[np.fromiter((i for k in known for i in k), np.int64)])
+    found = [grams(w) for w in words]
+    sizes = np.fromiter(map(len, found), np.int64, n)
+    at = np.fromiter(map(m.index.get, chain.from_iterable(found), repeat(-1)), np.int64, int(sizes.sum()))
+    of = np.repeat(np.arange(n), sizes)[at >= 0]
+    logp = m.logp[at[at >= 0]]
+    sums = np.stack([np.bincount(of, logp[:, k], minlength=n) for k in range(langs)], axis=1)
+    known = np.bincount(of, minlength=n)
     nobody = np.zeros(langs, bool)
     ok = np.array([m.candidates.get(script(w[0]), nobody) for w in words], bool).reshape(n, langs)
     mean = np.where(ok, sums, 0).sum(axis=1) / np.maximum(ok.sum(axis=1), 1)
     s = np.clip(sums - mean[:, None], -CLIP, CLIP)
-    s[[not k for k in known]] = 0.0
+    s[known == 0] = 0.0
     return np.where(ok.any(axis=1)[:, None], np.where(ok, s, EXCLUDED), 0.0).astype(np.float32)
 
 
@@ -195,7 +206,7 @@ def identify(docs: DataFrame, m: Model, penalty: float = 10.0) -> DataFrame:
     def run(batches):
         rows: dict[str, int] = {}
         table = np.zeros((0, len(m.langs)), np.float32)
-        for b in batches:
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             texts = [WORDS.findall(t.lower()) if t else [] for t in b.column(1).to_pylist()]
             if len(rows) > CACHE:
                 rows, table = {}, table[:0]
