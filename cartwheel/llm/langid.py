@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import materialize
 
@@ -26,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
+#: Steps of the sampling share.
+SHARES = 1 << 20
 #: Texts cut into words at a time.
 TEXTS = 256
 #: Sampled ids (a long and a language code each) up to which the sample is broadcast.
@@ -101,14 +102,17 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, per_lang: int = 1_500, features: int = 60_000) -> Model:
-    """Learn from at most ``per_lang`` rows of each language (the documented bound of
-    the sample; the first by a hash of the id) and keep the ``features`` most frequent
-    n-grams. Rows with null text or lang teach nothing. Without rows the model knows
-    no language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """Learn from about ``per_lang`` rows of each language (the documented size of the
+    sample: all rows of a language that has no more, else those whose id hashes
+    below the share that gives ``per_lang`` on average) and keep the ``features`` most
+    frequent n-grams. Rows with null text or lang teach nothing. Without rows the
+    model knows no language."""
     known = docs.filter("lang is not null and text is not null")
-    some = materialize(known.select("doc_id", "lang").withColumn("r", F.row_number().over(order))
-                       .filter(F.col("r") <= per_lang).select("doc_id", "lang").distinct(), "language-sample")
+    have = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    below = F.ceil(F.lit(float(per_lang * SHARES)) / F.col("_n"))
+    some = materialize(known.select("doc_id", "lang").join(have, "lang")
+                       .filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < below)
+                       .select("doc_id", "lang").distinct(), "language-sample")
     if some.count() <= BROADCAST_IDS:
         some = F.broadcast(some)
     rows = known.select("doc_id", "lang", "text").join(some, ["doc_id", "lang"], "left_semi").select("text", "lang")
