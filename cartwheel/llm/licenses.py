@@ -121,8 +121,9 @@ def _examples(spark: SparkSession, docs: DataFrame, background: int) -> DataFram
     around = F.array(F.array().cast("array<string>"), F.split(F.lit("copyright 0 the authors"), " "),
                      F.split(F.lit("see the file for details"), " "))
     seen = cut.withColumn("x", F.explode(around)).select("family", F.concat("x", "words").alias("words"))
-    lines = (docs.filter("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(background)
-             .select(F.explode(F.split("text", r"\r\n|[\n\r]")).alias("line"))
+    some = (docs.filter("text is not null and doc_id is not null").select("doc_id").distinct()
+            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(background))                # ids alone are ranked
+    lines = (docs.join(F.broadcast(some), "doc_id", "left_semi").select(F.explode(F.split("text", r"\r\n|[\n\r]")).alias("line"))
              .filter(~F.col("line").rlike(ANCHOR)).select(F.lit(UNKNOWN).alias("family"), words(F.col("line")).alias("words"))
              .filter(F.size("words") > 0).limit(background))
     stray = ["the license plate of the car", "a driving license is required", "please ask for permission first",
