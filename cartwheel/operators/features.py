@@ -121,6 +121,15 @@ def _dense(long_shares: DataFrame, dictionary: DataFrame) -> DataFrame:
     return per.select(CUSTOMER, vals.alias("v"))
 
 
+def _join_shares(out: DataFrame, long_shares: DataFrame, dictionary: DataFrame, name: str, how: str) -> DataFrame:
+    """``out`` with its customers' dense shares; zeros where a left join finds none."""
+    out = out.join(_dense(long_shares, dictionary).withColumnRenamed("v", name), CUSTOMER, how)
+    if how == "inner":
+        return out
+    n = dictionary.agg(F.count(F.lit(1))).scalar()
+    return out.withColumn(name, F.coalesce(name, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lit(0.0))))
+
+
 def complete_customers(mart: Mart) -> DataFrame:
     """J4 completeness: customers that have every part of the catalog, i.e. a
     household row for their zip, a line on a live product and a line on a
@@ -138,13 +147,17 @@ def feature_arrays(mart: Mart, names: list[str] | None = None, how: str = "inner
 
     As in the reference, completeness is judged on every part of the catalog
     whatever ``names`` asks for; only the requested features are computed.
+    ``how='left'`` keeps every customer: a missing scalar is null, missing shares
+    are zeros.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("how is 'inner' or 'left'")
     names = list(names or FEATURE_CATALOG)
     unknown = [n for n in names if n not in FEATURE_CATALOG]
     if unknown:
         raise ValueError(f"unknown features: {unknown}")
     inv, prod, cust = mart.invoices, mart.products, mart.customers
-    out = complete_customers(mart)
+    out = complete_customers(mart) if how == "inner" else mart.customers.select(CUSTOMER)
     if set(names) & (set(HOUSEHOLD) | {"zip"}):
         out = out.join(customer_households(cust, mart.households), CUSTOMER, how)
     if set(names) & ({"COMMON_CUSTOMER", "ACTIVE_DATE"} | set(CUSTOMER_CATEGORY)):
@@ -155,11 +168,9 @@ def feature_arrays(mart: Mart, names: list[str] | None = None, how: str = "inner
         out = out.join(spend_stats(inv), CUSTOMER, how)
     for name, col in PRODUCT_CATEGORY.items():
         if name in names:
-            dense = _dense(category_share(inv, prod, col), category_dictionary(prod, col))
-            out = out.join(dense.withColumnRenamed("v", f"_v_{name}"), CUSTOMER, how)
+            out = _join_shares(out, category_share(inv, prod, col), category_dictionary(prod, col), f"_v_{name}", how)
     if "Mix" in names:
-        dense = _dense(tag_share(inv, mart.mixes), category_dictionary(mart.mixes, "mix"))
-        out = out.join(dense.withColumnRenamed("v", "_v_Mix"), CUSTOMER, how)
+        out = _join_shares(out, tag_share(inv, mart.mixes), category_dictionary(mart.mixes, "mix"), "_v_Mix", how)
     sizes = {}
     for name, col in CUSTOMER_CATEGORY.items():
         if name in names:

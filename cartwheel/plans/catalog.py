@@ -8,6 +8,8 @@ money-scaled scores to 4), so results can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +18,7 @@ from .. import functions as fn
 from ..operators import basket, evaluate, factors, features, postfilter, report, segments, similarity, tune
 from ..session import checkpoint_dir, materialize, scratch_path
 from ..sources import files, sinks, warehouse
-from ..sources.mart import CUSTOMER, ITEM, REF, STYLE, load_mart
+from ..sources.mart import CUSTOMER, ITEM, REF, STYLE, load_mart, load_raw_mart
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,11 +276,9 @@ def customer_cosine(spark, sf_dir):
 
 
 def graph_scores(m, per_line_norm=False):
-    # the edge table is read by weights, norms, spend and the size estimate:
-    # derive it once (a join of lines and orders plus two semi-joins)
-    e = materialize(similarity.edges(m))
-    cos = similarity.customer_cosine(e, per_line_norm=per_line_norm)
-    recs = similarity.graph_recommendations(e, cos)
+    # the edge table is read by weights, norms and spend: derive it once (a join of
+    # lines and orders plus two semi-joins)
+    recs = similarity.graph_scores(materialize(similarity.edges(m)), per_line_norm=per_line_norm)
     # sums of similarity x spend are order-dependent in the last bits: cents
     return recs.select(CUSTOMER, STYLE, r2(F.col("score")).alias("score"))
 
@@ -510,7 +510,7 @@ def filtered_segment_recs(spark, sf_dir):
 @query("suggestion_report")
 def suggestion_report(spark, sf_dir):
     m, recs = filtered_segment_recs(spark, sf_dir)
-    r = report.suggestion_report(recs, m.products, m.mixes, k=REPORT_K, is_money=True)
+    r = report.suggestion_report(recs, m.products, m.mixes, m.customers, k=REPORT_K, is_money=True)
     return r.withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -518,7 +518,8 @@ def suggestion_report(spark, sf_dir):
 def export_recommendations(spark, sf_dir):
     m, recs = filtered_segment_recs(spark, sf_dir)
     top = postfilter.top_k(postfilter.best_per_style(recs), REPORT_K)
-    return sinks.recommendation_rows(top)
+    # Appended to a table of its own in the session's warehouse, returned as read from it
+    return spark.table(sinks.append_recommendations(top, f"recommendations_{uuid.uuid4().hex}"))
 
 
 # --- reference-layout CSV files (S1, S6, S9) -------------------------------------
@@ -527,7 +528,7 @@ def file_mart(spark, sf_dir):
     """The mart written as the reference's five CSV files into the shared
     folder, then read back with declared schemas and the source filters."""
     path = scratch_path(spark, "csv-mart")
-    files.write_file_mart(load_mart(spark, sf_dir), path)
+    files.write_file_mart(load_raw_mart(spark, sf_dir), path)
     return files.read_file_mart(spark, path)
 
 

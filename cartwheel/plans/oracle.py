@@ -412,17 +412,19 @@ _STYLE_TAGS = ("stags", """SELECT style_id, array_to_string(list_sort(list_disti
                            FROM mixes GROUP BY style_id""")
 
 oracle("suggestion_report", """
-    SELECT t.customer_id, CAST(t.rk AS INTEGER) AS rank, t.style_id, a.style_name, a.prod_desc,
+    SELECT t.customer_id, c.name AS customer_name, CAST(t.rk AS INTEGER) AS rank, t.style_id, a.style_name, a.prod_desc,
            a.sub_category, a.high_category, coalesce(g.tags, '') AS tags, t.score,
            printf('$%.2f', t.score) AS score_text
     FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, style_id) AS rk
-          FROM filtered) t
+          FROM (SELECT customer_id, style_id, max(score) AS score FROM filtered
+                WHERE style_id IN (SELECT style_id FROM attr) GROUP BY 1, 2)) t
     JOIN attr a ON a.style_id = t.style_id
     LEFT JOIN stags g ON g.style_id = t.style_id
+    LEFT JOIN customers c ON c.customer_id = t.customer_id
     WHERE t.rk <= 20""", *_SEGMENT_CTES, _FILTERED, _ATTR, _STYLE_TAGS)
 
 oracle("export_recommendations", """
-    SELECT CAST(customer_id AS INTEGER) AS CustomerID, style_id AS SellingStyleNo, score AS Score
+    SELECT CAST(customer_id AS BIGINT) AS CustomerID, style_id AS SellingStyleNo, score AS Score
     FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, style_id) AS rk
           FROM (SELECT customer_id, style_id, max(score) AS score FROM filtered GROUP BY 1, 2))
     WHERE rk <= 20""", *_SEGMENT_CTES, _FILTERED)

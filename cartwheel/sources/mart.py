@@ -156,3 +156,10 @@ def load_mart(spark: SparkSession, sf_dir: str) -> Mart:
         products=live_products(raw_products(spark, sf_dir)),
         mixes=raw_mixes(spark, sf_dir),
     )
+
+
+def load_raw_mart(spark: SparkSession, sf_dir: str) -> Mart:
+    """The mart before its source filters (S2, S4, S7), as the files hold it."""
+    return Mart(customers=raw_customers(spark, sf_dir), invoices=raw_invoices(spark, sf_dir),
+                products=raw_products(spark, sf_dir), mixes=raw_mixes(spark, sf_dir),
+                households=raw_households(spark, sf_dir))

@@ -121,3 +121,27 @@ def test_graph_best_single_line(golden):
     recs = similarity.graph_recommendations(e, similarity.customer_cosine(e), agg="max")
     # neighbour 2 bought C for 12, neighbour 3 for 4: the best line is 12 x 0.631474
     assert rows(recs.filter("customer_id = 1 AND style_id = 'C'"), "score") == [(7.577688,)]
+
+
+def test_report_ranks_live_styles_only(spark, golden):
+    from cartwheel.operators import report
+    recs = spark.createDataFrame([(1, "Z", 9.0), (1, "A", 5.0), (1, "A", 4.0), (1, "B", 3.0), (1, "C", 1.0)],
+                                 "customer_id long, style_id string, score double")
+    r = report.suggestion_report(recs, golden.products, golden.mixes, golden.customers, k=2)
+    assert rows(r, "rank", "style_id", "customer_name", "score") == [(1, "A", "Customer 1", 5.0), (2, "B", "Customer 1", 3.0)]
+
+
+def test_left_features_keep_every_customer(golden):
+    from cartwheel.operators import features
+    names = ["SUB_CATEGORY", "TotalExpenditure"] if "SUB_CATEGORY" in features.FEATURE_CATALOG else ["TotalExpenditure"]
+    inner = features.feature_arrays(golden, names)
+    left = features.feature_arrays(golden, names, how="left")
+    assert left.count() == golden.customers.count() > inner.count()
+
+
+def test_graph_scores_equal_customer_pairs(golden):
+    e = similarity.edges(golden)
+    for per_line in (False, True):
+        pairs = similarity.graph_recommendations(e, similarity.customer_cosine(e, per_line_norm=per_line))
+        direct = similarity.graph_scores(e, per_line_norm=per_line)
+        assert rows(direct, "customer_id", "style_id", "score") == rows(pairs, "customer_id", "style_id", "score")

@@ -91,8 +91,8 @@ def test_csv_round_trip(mart, spark):
 
 
 def test_sink_appends_with_declared_shape(spark):
-    df = spark.createDataFrame([(1, "A", 2.0), (2, "B", 1.0), (3, None, 1.0)],
-                               "customer_id long, style_id string, score double")
+    shape = "customer_id long, style_id string, score double"
+    df = spark.createDataFrame([(3_000_000_000, "A", 2.0), (2, "B", 1.0)], shape)
     assert sinks.qualified_table_name("recs_test") == "default.recs_test"
     assert sinks.qualified_table_name("db.t") == "db.t"
     name = sinks.append_recommendations(df, "recs_test")
@@ -100,7 +100,15 @@ def test_sink_appends_with_declared_shape(spark):
     t = spark.table(name)
     assert t.count() == 4
     assert [(f.name, f.dataType.simpleString()) for f in t.schema.fields] == [
-        ("CustomerID", "int"), ("SellingStyleNo", "string"), ("Score", "double")]
+        ("CustomerID", "bigint"), ("SellingStyleNo", "string"), ("Score", "double")]
+
+
+def test_sink_refuses_nulls_and_declares_none(spark):
+    shape = "customer_id long, style_id string, score double"
+    assert not any(f.nullable for f in sinks.recommendation_rows(spark.createDataFrame([], shape)).schema.fields)
+    for bad in ((3, None, 1.0), (None, "A", 1.0), (3, "A", None)):
+        with pytest.raises(Exception, match="in recommendations"):
+            sinks.recommendation_rows(spark.createDataFrame([(1, "A", 1.0), bad], shape)).collect()
 
 
 def test_warehouse_shapes(spark):
