@@ -15,11 +15,15 @@ constant slot is only centred.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import comma_number, iso_year, slash_year, str_or_empty
+from ..session import materialize
 from ..sources.mart import CUSTOMER, DEMOGRAPHIC_COLUMNS, DEMOGRAPHICS, ITEM, REF, STYLE, Mart
+from .skew import fanout_partitions
 
 # The reference's feature catalog, in its order, and the default
 # ("best known") feature list for K-means.
@@ -44,9 +48,17 @@ def lines_with_products(invoices: DataFrame, products: DataFrame, *cols: str) ->
 
 def category_dictionary(values: DataFrame, column: str) -> DataFrame:
     """Distinct values of ``column`` (null as ''), 0-based index in
-    alphabetical order. Distinct first (partial aggregation), then ranked."""
+    alphabetical order. The distinct values are stored in range partitions; a value's
+    index is its place in its partition after the values of the partitions before."""
     d = values.select(str_or_empty(column).alias("value")).distinct()
-    return d.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("slot"))
+    ranges = d.repartitionByRange(fanout_partitions(values), "value").withColumn("_range", F.spark_partition_id())
+    ranges = materialize(ranges, "dictionary")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)       # a row per partition
+    before = (ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+              .select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("value")) - 1
+    return (ranges.join(F.broadcast(before), "_range")
+            .select("value", (F.col("_before") + place).cast("int").alias("slot")))
 
 
 def share_of_lines(counts: DataFrame, key: str) -> DataFrame:
@@ -156,6 +168,9 @@ def feature_arrays(mart: Mart, names: list[str] | None = None, how: str = "inner
     unknown = [n for n in names if n not in FEATURE_CATALOG]
     if unknown:
         raise ValueError(f"unknown features: {unknown}")
+    # the lines are a join of two big tables and every part reads them: stored once
+    mart = replace(mart, invoices=materialize(mart.invoices.select(CUSTOMER, *ITEM, "spend"), "lines"),
+                   customers=materialize(mart.customers, "customers"))
     inv, prod, cust = mart.invoices, mart.products, mart.customers
     out = complete_customers(mart) if how == "inner" else mart.customers.select(CUSTOMER)
     if set(names) & (set(HOUSEHOLD) | {"zip"}):
@@ -234,12 +249,15 @@ def zscore(long: DataFrame) -> DataFrame:
                     F.when(s <= 0, v - m).otherwise((v - m) / s).alias("z"))
 
 
-def feature_vectors(mart: Mart, names: list[str] | None = None) -> DataFrame:
-    """(customer_id, values array<double>, features vector), z-scored,
-    features concatenated in the order of ``names``."""
+def feature_vectors(mart: Mart, names: list[str] | None = None, cohort: DataFrame | None = None) -> DataFrame:
+    """(customer_id, values array<double>, features vector), z-scored over
+    all customers, features concatenated in the order of ``names``; the vectors of
+    the customers of ``cohort`` (all when None)."""
     names = list(names or DEFAULT_FEATURES)
     arrays = feature_arrays(mart, names)
     z = zscore(feature_long(arrays, names))
+    if cohort is not None:
+        z = z.join(cohort.select(CUSTOMER).distinct(), CUSTOMER, "left_semi")
     order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     per = z.groupBy(CUSTOMER).agg(
         F.array_sort(F.collect_list(F.struct(order[F.col("feature")].alias("o"), "slot", "z"))).alias("zs"))

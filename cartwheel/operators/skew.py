@@ -1,50 +1,34 @@
-"""Hot-key salting for joins whose output grows with the product of both sides.
-
-A key that holds a large share of rows (a customer with a huge basket, a product
-everyone buys, a segment with a third of all customers) would put its whole
-join product into one task. ``salted_join`` splits the rows of such a key on the
-big side into several salt groups and copies the other side's rows of that key
-once per group, so the key's work spreads over many tasks. Cold keys keep one
-salt and are not copied. The result is exactly the plain join.
-
-Hot keys are those holding more than ``hot_fraction`` of the big side's rows, so
-there are at most ``1 / hot_fraction`` of them: that bound is what makes the
-broadcast of the hot-key table safe.
-
-Both join sides are also hash-partitioned explicitly into the session's shuffle
-partition count. The inputs of these joins are small next to their output, so
-adaptive execution would otherwise coalesce them into very few partitions and
-leave one task to produce the whole fan-out.
+"""Joins whose output grows with the product of both sides, at any size.
+
+``salted_join`` splits keys by the *work* they cause: the join rows of a key are
+its rows on one side times its rows on the other. A key above a task's fair share
+of all join rows is split into as many salt groups as it has shares; the rows of
+the first side are dealt to the groups and those of the second copied to each.
+Fewer keys than tasks can be above the fair share, which bounds the broadcast table
+of split keys by the number of shuffle partitions, whatever the data.
+
+``Grid`` serves joins that are aggregated at once by a row key of one side and a
+column key of the other. Row keys are hashed into blocks of rows, column keys into
+blocks of columns, and every pair of blocks is a cell with a task of its own: rows
+of the first side are copied along their row of cells, those of the second down
+their column. All contributions to a (row key, column key) group meet in one cell,
+so the joined rows, which outnumber both sides by far, are aggregated, filtered and
+named where they arise and never shuffled. A join key that everybody has is split
+both ways. The shape follows from the sizes of the sides alone.
+
+Tables passed in should be stored ones: their keys are counted before the join.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-
-@dataclass(frozen=True)
-class Skew:
-    hot_fraction: float = 0.01     # a key over 1% of rows is hot (at most 100 hot keys)
-    max_salts: int = 64            # most groups one hot key is split into
-
-    def __post_init__(self):
-        if not 0 < self.hot_fraction < 1:
-            raise ValueError("hot_fraction must be in (0, 1)")
-
-
-DEFAULT_SKEW = Skew()
-
-
-def hot_keys(df: DataFrame, keys: list[str], skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """Keys over ``hot_fraction`` of the rows, with the number of salt groups each
-    (about one group per ``hot_fraction`` of rows, at most ``max_salts``)."""
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = df.agg(F.count(F.lit(1)) * F.lit(skew.hot_fraction)).scalar()
-    return (per_key.filter(F.col("_rows") > limit)
-            .select(*keys, F.least(F.ceil(F.col("_rows") / limit), F.lit(skew.max_salts))
-                    .cast("int").alias("_salts")))
+CELL = "_cell"
+ROWS_PER_CELL = 2_000_000    # joined rows a cell is sized for
+INPUT_PER_CELL = 1_000_000   # rows of either side a cell is sized for
 
 
 def fanout_partitions(df: DataFrame) -> int:
@@ -52,21 +36,30 @@ def fanout_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_keys(big: DataFrame, other: DataFrame, keys: list[str], partitions: int) -> DataFrame:
+    """Keys above 1/``partitions`` of the join's rows, with the number of salt groups
+    each: its shares of the work, and no more than its rows on ``big``."""
+    mine = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    theirs = other.groupBy(*keys).agg(F.count(F.lit(1)).alias("_other"))
+    work = mine.join(theirs, keys, "left").withColumn(
+        "_work", F.col("_rows").cast("double") * F.coalesce(F.col("_other"), F.lit(1)))
+    fair = work.agg(F.sum("_work") / F.lit(partitions)).scalar()
+    return (work.filter(F.col("_work") > fair)
+            .select(*keys, F.least(F.ceil(F.col("_work") / fair), F.col("_rows")).cast("int").alias("_salts")))
+
+
 def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: list[str],
-                how: str = "inner", skew: Skew | None = DEFAULT_SKEW,
-                partitions: int | None = None) -> DataFrame:
-    """``big.join(other, keys, how)`` with hot keys of ``big`` split by ``salt_by``.
+                how: str = "inner", partitions: int | None = None) -> DataFrame:
+    """``big.join(other, keys, how)`` with hot keys split by ``salt_by``.
 
     ``salt_by`` are columns of ``big`` that spread a hot key's rows (for example
     the customer id when the key is a product). ``how`` is ``inner`` or ``left``
     (rows of ``big`` are never copied, so a left join stays exact).
     """
-    n = partitions or fanout_partitions(big)
-    if skew is None:
-        return big.repartition(n, *keys).join(other.repartition(n, *keys), keys, how)
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    hot = F.broadcast(hot_keys(big, keys, skew))
+    n = partitions or fanout_partitions(big)
+    hot = F.broadcast(hot_keys(big, other, keys, n))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     big_s = (big.join(hot, keys, "left")
              .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int"))
@@ -75,4 +68,52 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salt_by: list
                .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
                .drop("_salts"))
     on = [*keys, "_salt"]
+    # the inputs are small next to the output: partitioned explicitly, or adaptive
+    # execution would merge them into few tasks that produce the whole fan-out
     return big_s.repartition(n, *on).join(other_s.repartition(n, *on), on, how).drop("_salt")
+
+
+@dataclass(frozen=True)
+class Grid:
+    """``rows`` x ``cols`` cells, each a partition."""
+
+    rows: int
+    cols: int
+
+    @staticmethod
+    def sized(df: DataFrame, left_rows: int, right_rows: int, joined_rows: float,
+              per_cell: int = ROWS_PER_CELL) -> "Grid":
+        """The grid for sides and a join of about these sizes: enough cells for the
+        joined rows and for the sides, shaped so that both sides are copied about
+        equally (left x cols = right x rows, the least total)."""
+        left_rows, right_rows = max(1, left_rows), max(1, right_rows)
+        n = max(fanout_partitions(df), math.ceil(joined_rows / per_cell),
+                math.ceil(left_rows * right_rows / INPUT_PER_CELL ** 2))
+        rows = min(n, max(1, round(math.sqrt(n * left_rows / right_rows))))
+        return Grid(rows, math.ceil(n / rows))
+
+    def _block(self, key: str, n: int):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def _placed(self, df: DataFrame, row, col) -> DataFrame:
+        placed = df.withColumn("_g", row).withColumn("_h", col)
+        placed = placed.withColumn(CELL, F.col("_g") * self.cols + F.col("_h")).drop("_g", "_h")
+        return placed.repartitionById(self.rows * self.cols, F.col(CELL))
+
+    def along_rows(self, df: DataFrame, row_key: str) -> DataFrame:
+        """``df`` copied to every cell of its row of cells."""
+        return self._placed(df, self._block(row_key, self.rows), F.explode(F.sequence(F.lit(0), F.lit(self.cols - 1))))
+
+    def along_cols(self, df: DataFrame, col_key: str) -> DataFrame:
+        """``df`` copied to every cell of its column of cells."""
+        return self._placed(df, F.explode(F.sequence(F.lit(0), F.lit(self.rows - 1))), self._block(col_key, self.cols))
+
+    def in_cell(self, df: DataFrame, row_key: str, col_key: str) -> DataFrame:
+        """``df``, each row in the one cell of its two keys."""
+        return self._placed(df, self._block(row_key, self.rows), self._block(col_key, self.cols))
+
+    def join(self, left: DataFrame, right: DataFrame, on: list[str], row_key: str, col_key: str) -> DataFrame:
+        """``left.join(right, on)`` with the cell of (``row_key`` of left, ``col_key`` of
+        right) in the column ``CELL``; group and join by ``CELL`` and further keys
+        without another exchange."""
+        return self.along_rows(left, row_key).hint("shuffle_hash").join(self.along_cols(right, col_key), [CELL, *on])

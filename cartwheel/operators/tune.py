@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
 from ..sources.mart import CUSTOMER, STYLE, Mart
-from . import evaluate, factors, features, postfilter, segments
+from . import evaluate, factors, features, segments
 
 # The reference's sweep grids.
 CF_GRID = dict(rank=[200, 300, 400], max_iter=[15, 20, 25], reg=[0.1, 0.5, 1.0], alpha=[0.01, 0.05, 0.1])
@@ -39,35 +39,46 @@ def feature_subsets(names: list[str], r: int) -> list[list[str]]:
     return [list(c) for c in itertools.combinations(names, r)]
 
 
-def _top_unowned(suggestions: DataFrame, invoices: DataFrame) -> DataFrame:
-    s = postfilter.exclude_recent(suggestions, invoices, months=-1)
-    s = postfilter.best_per_style(s)
-    return postfilter.top_k(s, evaluate.SCORE_TOP_K).drop("rank")
+#: Short parameter lists of the registered queries; the whole grids are above.
+SHORT_CF_SETS = grid(rank=[10, 20], max_iter=[5], reg=[0.01, 0.1], alpha=[0.01], implicit=[True])
+SHORT_KMEANS_SETS = grid(k=[10, 20], max_iter=[2, 5])
+SHORT_FEATURE_SETS = [dict(k=20, max_iter=5, names=s) for s in
+                      feature_subsets(["StyleYear", "AverageExpenditure", "CPT_HDS_OTH", "Mix"], 2)]
+DEFAULT_CF_SETS = [dict(factors.EXPLICIT_DEFAULTS, implicit=False), dict(factors.IMPLICIT_DEFAULTS, implicit=True)]
+DEFAULT_KMEANS_SETS = [dict(k=100, max_iter=7)]
+
+
+def params_text(params: dict) -> str:
+    """A parameter set as the text in the column ``params``."""
+    return json.dumps(params, sort_keys=True)
 
 
 def _write_runs(spark: SparkSession, name: str, runs: list[tuple[dict, DataFrame]]) -> DataFrame:
     base = scratch_path(spark, name)
     for i, (params, df) in enumerate(runs):
         (df.select(CUSTOMER, STYLE, F.col("score").cast("double"))
-         .withColumn("params", F.lit(json.dumps(params, sort_keys=True)))
+         .withColumn("params", F.lit(params_text(params)))
          .write.mode("overwrite").parquet(f"{base}/run_id={i}"))
     return spark.read.parquet(base)
 
 
-def kmeans_runs(spark: SparkSession, mart: Mart, param_sets: list[dict], seed: int | None = None) -> DataFrame:
+def kmeans_runs(spark: SparkSession, mart: Mart, param_sets: list[dict], seed: int | None = None,
+                models: int = 1) -> DataFrame:
     """Per parameter set (k, max_iter, optional feature names) the
-    top unowned segment suggestions of every customer."""
+    top unowned segment suggestions of every customer. With ``models`` above 1 each
+    set is fitted that often with consecutive seeds (parameter ``model`` of the run);
+    ``best_runs`` keeps the best of each set."""
     out, vectors = [], {}
     for p in param_sets:
         names = tuple(p.get("names", features.DEFAULT_FEATURES))
         if names not in vectors:
             vectors[names] = materialize(features.feature_vectors(mart, list(names)))
         vec = vectors[names]
-        model = segments.train_kmeans(vec, k=p["k"], max_iter=p["max_iter"], seed=seed)
-        centres = segments.model_centres(spark, model)
-        assigned = segments.segment_model(vec, centres)[2]
-        recs = segments.segment_recommendations(mart.invoices, assigned)
-        out.append((p, _top_unowned(recs, mart.invoices)))
+        for i in range(models):
+            model = segments.train_kmeans(vec, k=p["k"], max_iter=p["max_iter"], seed=None if seed is None else seed + i)
+            assigned = segments.segment_model(vec, segments.model_centres(spark, model))[2]
+            top = segments.segment_top_k(mart.invoices, assigned, evaluate.SCORE_TOP_K).drop("rank")
+            out.append((dict(p, model=i) if models > 1 else p, top))
     return _write_runs(spark, "kmeans-runs", out)
 
 
@@ -89,3 +100,14 @@ def score_runs(runs: DataFrame, mart: Mart) -> DataFrame:
     per = evaluate.relevance_by_customer(runs, mart.invoices, mart.products, runs=("run_id", "params"))
     return (evaluate.relevance_score(per, runs=("run_id", "params"))
             .select("run_id", "params", F.col("customers").cast("bigint"), F.round("relevance", 9).alias("relevance")))
+
+
+def best_runs(scored: DataFrame) -> DataFrame:
+    """V9: of the models of each parameter set the one with the highest relevance
+    (ties: the lower model number): (params, model, customers, relevance)."""
+    kind = "map<string,string>"
+    p = F.from_json("params", kind)
+    rows = scored.select(F.to_json(F.map_filter(p, lambda k, _: k != "model")).alias("params"),
+                         F.element_at(p, "model").cast("int").alias("model"), "customers", "relevance")
+    best = F.max_by(F.struct("model", "customers", "relevance"), F.struct("relevance", -F.col("model")))
+    return rows.groupBy("params").agg(best.alias("b")).select("params", "b.model", "b.customers", "b.relevance")

@@ -304,7 +304,7 @@ SEGMENT_FEATURES = features.DEFAULT_FEATURES
 
 def stored_segments(spark, sf_dir):
     m = load_mart(spark, sf_dir)
-    vec = features.feature_vectors(m, SEGMENT_FEATURES)
+    vec = materialize(features.feature_vectors(m, SEGMENT_FEATURES), "vectors")
     dim = vec.select(F.size("values")).first()[0]
     emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
     centres = segments.centres_from_table(emb, "vec_id", "embedding", dim, CENTRE_SCALE)
@@ -339,70 +339,93 @@ def segment_recs(spark, sf_dir):
     return segments.segment_recommendations(m.invoices, a)
 
 
-# --- trained models (R3-R6, S12, S13): rows only ----------------------------------
+# --- trained models (R3-R6, S12, S13) ----------------------------------------------
+# The models' numbers depend on their random starts, so these queries return what
+# must hold whatever the model: how many suggestions each customer gets, that none
+# is owned, that a loaded model answers like the saved one.
 
 KMEANS_K, KMEANS_ITER, SEED = 100, 7, 42
 
 
-def kmeans_assignment(spark, m, k=KMEANS_K, max_iter=KMEANS_ITER, names=SEGMENT_FEATURES, seed=SEED):
-    vec = materialize(features.feature_vectors(m, names))
-    model = segments.train_kmeans(vec, k=k, max_iter=max_iter, seed=seed)
-    centres = segments.model_centres(spark, model)
-    return segments.segment_model(vec, centres)[2], model
+def count_where(cond):
+    return F.count(F.when(cond, F.lit(1)))
 
 
 @query("kmeans_recs")
 def kmeans_recs(spark, sf_dir):
+    """Trained segments and their suggestions. Customers; those whose nearest
+    centre is farther than the centre the model itself predicts; suggested styles
+    that are owned; ranks above ``REPORT_K``."""
     m = load_mart(spark, sf_dir)
-    a, _ = kmeans_assignment(spark, m)
-    recs = segments.segment_recommendations(m.invoices, a)
-    recs = postfilter.exclude_recent(recs, m.invoices, months=-1)
-    return postfilter.top_k(recs, REPORT_K).select(CUSTOMER, F.col("rank").cast("int"), STYLE, "score")
+    vec = materialize(features.feature_vectors(m, SEGMENT_FEATURES), "vectors")
+    model = segments.train_kmeans(vec, k=KMEANS_K, max_iter=KMEANS_ITER, seed=SEED)
+    centres = segments.model_centres(spark, model)
+    nearest, _, assigned = segments.segment_model(vec, centres)
+    d = fn.sq_distance("values", "centre")
+    own = (model.transform(vec).join(centres, F.col("prediction") == F.col("segment"))
+           .select(CUSTOMER, d.alias("d")).join(nearest, CUSTOMER, "full"))
+    far = F.coalesce(F.col("distance") > F.col("d") * (1 + 1e-9) + 1e-9, F.lit(True))
+    recs = materialize(segments.segment_top_k(m.invoices, assigned, REPORT_K), "kmeans-recs")
+    bought = recs.join(m.invoices.select(CUSTOMER, STYLE), [CUSTOMER, STYLE], "left_semi")
+    return (own.agg(F.count(F.lit(1)).alias("customers"), count_where(far).alias("farther"))
+            .crossJoin(bought.agg(F.count(F.lit(1)).alias("owned")))                          # one row each
+            .crossJoin(recs.agg(count_where(F.col("rank") > REPORT_K).alias("above_k"))))
 
 
 def als_recs(spark, sf_dir, implicit):
+    """Per customer: suggestions, those that are owned, those with a score."""
     m = load_mart(spark, sf_dir)
     params = factors.IMPLICIT_DEFAULTS if implicit else factors.EXPLICIT_DEFAULTS
-    checkpoint_dir(spark)
-    model = factors.fit_als(factors.ratings(m.invoices), params["rank"], params["max_iter"], params["reg"],
+    r = materialize(factors.ratings(m.invoices), "ratings")
+    model = factors.fit_als(r, params["rank"], params["max_iter"], params["reg"],
                             seed=SEED, implicit=implicit, alpha=params.get("alpha", 1.0))
-    return m, factors.recommend(model, m.invoices, TOP_K)
+    recs = factors.recommend(model, r, TOP_K)
+    bought = r.select(CUSTOMER, STYLE, F.lit(True).alias("_owned"))
+    return recs.join(bought, [CUSTOMER, STYLE], "left").groupBy(CUSTOMER).agg(
+        F.count(F.lit(1)).alias("n_suggested"), F.count("_owned").alias("n_owned"),
+        count_where(F.col("score").isNotNull() & ~F.isnan("score")).alias("n_scored"))
 
 
 @query("als_explicit_recs")
 def als_explicit_recs(spark, sf_dir):
-    return als_recs(spark, sf_dir, implicit=False)[1]
+    return als_recs(spark, sf_dir, implicit=False)
 
 
 @query("als_implicit_recs")
 def als_implicit_recs(spark, sf_dir):
-    return als_recs(spark, sf_dir, implicit=True)[1]
+    return als_recs(spark, sf_dir, implicit=True)
 
 
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
-    """Train both models, save them to the shared checkpoint folder, load them
-    back and use the loaded models: segment ids from the loaded K-means model
-    next to ALS predictions from the loaded pipeline."""
+    """Train both models, save them to the shared folder, load them back and use
+    both: rated pairs, those with another ALS prediction, customers with a feature
+    vector, those with another segment."""
     m = load_mart(spark, sf_dir)
-    vec = materialize(features.feature_vectors(m, SEGMENT_FEATURES))
+    vec = materialize(features.feature_vectors(m, SEGMENT_FEATURES), "vectors")
     km = segments.train_kmeans(vec, k=10, max_iter=5, seed=SEED)
     kpath = scratch_path(spark, "kmeans")
     segments.save_model(km, SEGMENT_FEATURES, kpath)
     km2, names = segments.load_model(spark, kpath)
-    seg = km2.transform(features.feature_vectors(m, names)).select(CUSTOMER, F.col("prediction").alias("segment"))
-    r = factors.ratings(m.invoices)
+    again = features.feature_vectors(m, names)
+    seg = (km.transform(vec).select(CUSTOMER, F.col("prediction").alias("a"))
+           .join(km2.transform(again).select(CUSTOMER, F.col("prediction").alias("b")), CUSTOMER, "full"))
+    r = materialize(factors.ratings(m.invoices), "ratings")
     als = factors.fit_als(r, rank=10, max_iter=5, reg=0.01, seed=SEED)
     apath = scratch_path(spark, "als")
     factors.save_model(als, apath)
-    pred = factors.predict(factors.load_model(apath), r.select(CUSTOMER, STYLE))
-    return pred.join(seg, CUSTOMER).select(CUSTOMER, "segment", STYLE, "score")
+    pairs = r.select(CUSTOMER, STYLE)
+    pred = (factors.predict(als, pairs).withColumnRenamed("score", "a")
+            .join(factors.predict(factors.load_model(apath), pairs).withColumnRenamed("score", "b"), [CUSTOMER, STYLE], "full"))
+    differs = count_where(~F.col("a").eqNullSafe(F.col("b")))
+    return (pred.agg(F.count(F.lit(1)).alias("pairs"), differs.alias("other_predictions"))
+            .crossJoin(seg.agg(F.count(F.lit(1)).alias("customers"), differs.alias("other_segments"))))   # one row each
 
 
 # --- ratings and given factors (R2, R5) -----------------------------------------
 # The embeddings table stands in for a stored factor model: a customer's factor
-# is the first half of the vector with vec_id = customer id, a style's factor the
-# second half of the vector with vec_id = the style's dictionary index.
+# is the first half of the vector with vec_id = customer id modulo the number of
+# vectors, a style's factor the second half of that of its dictionary index, likewise.
 
 FACTOR_DIM = 32
 
@@ -417,9 +440,11 @@ def factor_scores(spark, sf_dir):
     m = load_mart(spark, sf_dir)
     r = factors.ratings(m.invoices)
     emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
-    users = emb.select(F.col("vec_id").alias(CUSTOMER), F.slice("embedding", 1, FACTOR_DIM).alias("uf"))
+    n = F.lit(emb.count())
+    users = (r.select(CUSTOMER).distinct().join(emb, F.pmod(F.col(CUSTOMER), n) == F.col("vec_id"))
+             .select(CUSTOMER, F.slice("embedding", 1, FACTOR_DIM).alias("uf")))
     idx = features.category_dictionary(r, STYLE).select(F.col("value").alias(STYLE), "slot")
-    items = (idx.join(emb, idx.slot == emb.vec_id)
+    items = (idx.join(emb, F.pmod(F.col("slot"), n) == F.col("vec_id"))
              .select(STYLE, F.slice("embedding", FACTOR_DIM + 1, FACTOR_DIM).alias("vf")))
     p = factors.factor_predictions(r, users, items)
     return p.select(CUSTOMER, STYLE, r9(F.col("score")).alias("score"))
@@ -455,68 +480,76 @@ def relevance_mba(spark, sf_dir):
 @query("relevance_graph")
 def relevance_graph(spark, sf_dir):
     m = load_mart(spark, sf_dir)
-    return _cohort_score(evaluate.relevance_by_customer(graph_scores(m), m.invoices, m.products,
-                                                        broadcast_rows=basket.BROADCAST_ROWS))
+    return _cohort_score(evaluate.relevance_by_customer(graph_scores(m), m.invoices, m.products))
+
+
+def scored_runs(runs, m):
+    """V2 per run: the customers scored, and that the relevance is a percentage."""
+    r = tune.score_runs(runs, m)
+    return r.select("run_id", "params", "customers", F.col("relevance").between(0, 100).alias("percentage"))
 
 
 @query("relevance_cf")
 def relevance_cf(spark, sf_dir):
     """V5: explicit and implicit ALS scored in one query."""
     m = load_mart(spark, sf_dir)
-    runs = tune.als_runs(m, [dict(factors.EXPLICIT_DEFAULTS, implicit=False),
-                             dict(factors.IMPLICIT_DEFAULTS, implicit=True)], seed=SEED)
-    return tune.score_runs(runs, m)
+    return scored_runs(tune.als_runs(m, tune.DEFAULT_CF_SETS, seed=SEED), m)
 
 
 @query("relevance_kmc")
 def relevance_kmc(spark, sf_dir):
     m = load_mart(spark, sf_dir)
-    runs = tune.kmeans_runs(spark, m, [dict(k=KMEANS_K, max_iter=KMEANS_ITER)], seed=SEED)
-    return tune.score_runs(runs, m)
+    return scored_runs(tune.kmeans_runs(spark, m, tune.DEFAULT_KMEANS_SETS, seed=SEED), m)
 
 
 @query("sweep_kmeans")
-def sweep_kmeans(spark, sf_dir):
+def sweep_kmeans(spark, sf_dir, param_sets=tune.SHORT_KMEANS_SETS):
+    """V9 over the given sets: four by default, the whole grid as
+    ``tune.grid(k=tune.KMEANS_CLUSTERS, max_iter=tune.KMEANS_ITERATIONS)``."""
     m = load_mart(spark, sf_dir)
-    runs = tune.kmeans_runs(spark, m, tune.grid(k=[10, 20], max_iter=[2, 5]), seed=SEED)
-    return tune.score_runs(runs, m)
+    return scored_runs(tune.kmeans_runs(spark, m, param_sets, seed=SEED), m)
 
 
 @query("sweep_als")
-def sweep_als(spark, sf_dir):
+def sweep_als(spark, sf_dir, param_sets=tune.SHORT_CF_SETS):
+    """V8 over the given sets: four by default, the whole grid as
+    ``tune.grid(**tune.CF_GRID, implicit=[True])``."""
     m = load_mart(spark, sf_dir)
-    runs = tune.als_runs(m, tune.grid(rank=[10, 20], max_iter=[5], reg=[0.01, 0.1], alpha=[0.01],
-                                      implicit=[True]), seed=SEED)
-    return tune.score_runs(runs, m)
+    return scored_runs(tune.als_runs(m, param_sets, seed=SEED), m)
 
 
 @query("sweep_features")
-def sweep_features(spark, sf_dir):
+def sweep_features(spark, sf_dir, param_sets=tune.SHORT_FEATURE_SETS):
+    """V10 over the given sets: the pairs of four features by default, subsets of
+    all as ``tune.feature_subsets(tune.DIMENSION_CANDIDATES, r)``."""
     m = load_mart(spark, sf_dir)
-    subsets = tune.feature_subsets(["StyleYear", "AverageExpenditure", "CPT_HDS_OTH", "Mix"], 2)
-    runs = tune.kmeans_runs(spark, m, [dict(k=20, max_iter=5, names=s) for s in subsets], seed=SEED)
-    return tune.score_runs(runs, m)
+    return scored_runs(tune.kmeans_runs(spark, m, param_sets, seed=SEED), m)
 
 
 # --- reports and export (S10-S14, R14) ------------------------------------------------
 
-def filtered_segment_recs(spark, sf_dir):
+def filtered_segment_recs(spark, sf_dir, live_only):
+    """Each customer's ``REPORT_K`` best styles after the tag and recency filters, and
+    among the live styles if so asked."""
     m, a = stored_assignment(spark, sf_dir)
-    recs = segments.segment_recommendations(m.invoices, a)
-    recs = postfilter.exclude_recent(recs, m.invoices, RECENCY_MONTHS, AS_OF)
-    return m, postfilter.exclude_tags(recs, m.mixes, EXCLUDED_TAGS)
+
+    def keep(styles):
+        styles = postfilter.exclude_tags(styles, m.mixes, EXCLUDED_TAGS)
+        return styles.join(m.products.select(STYLE), STYLE, "left_semi") if live_only else styles
+
+    return m, segments.segment_top_k(m.invoices, a, REPORT_K, RECENCY_MONTHS, AS_OF, keep=keep).drop("rank")
 
 
 @query("suggestion_report")
 def suggestion_report(spark, sf_dir):
-    m, recs = filtered_segment_recs(spark, sf_dir)
+    m, recs = filtered_segment_recs(spark, sf_dir, live_only=True)
     r = report.suggestion_report(recs, m.products, m.mixes, m.customers, k=REPORT_K, is_money=True)
     return r.withColumn("rank", F.col("rank").cast("int"))
 
 
 @query("export_recommendations")
 def export_recommendations(spark, sf_dir):
-    m, recs = filtered_segment_recs(spark, sf_dir)
+    m, recs = filtered_segment_recs(spark, sf_dir, live_only=False)
     top = postfilter.top_k(postfilter.best_per_style(recs), REPORT_K)
     # Appended to a table of its own in the session's warehouse, returned as read from it
     return spark.table(sinks.append_recommendations(top, f"recommendations_{uuid.uuid4().hex}"))

@@ -8,6 +8,8 @@ batch rewrites in the Spark code.
 
 from __future__ import annotations
 
+from ..operators import tune
+
 MART_VIEWS = {
     "all_products": """
         SELECT CAST(CAST(floor(p_partkey / 4.0) AS BIGINT) AS VARCHAR) AS style_id,
@@ -440,10 +442,11 @@ oracle("factor_scores", """
            round(list_sum(list_transform(range(32),
                  lambda k: CAST(u.embedding[k + 1] AS DOUBLE) * CAST(v.embedding[33 + k] AS DOUBLE))), 9) AS score
     FROM r
-    JOIN embeddings u ON u.vec_id = r.customer_id
+    CROSS JOIN (SELECT count(*) AS n FROM embeddings) k
+    JOIN embeddings u ON u.vec_id = r.customer_id % k.n
     JOIN (SELECT style_id, dense_rank() OVER (ORDER BY style_id) - 1 AS slot
           FROM (SELECT DISTINCT style_id FROM r)) idx ON idx.style_id = r.style_id
-    JOIN embeddings v ON v.vec_id = idx.slot""", _RATINGS)
+    JOIN embeddings v ON v.vec_id = idx.slot % k.n""", _RATINGS)
 
 # --- relevance score ------------------------------------------------------------------------
 
@@ -488,6 +491,40 @@ oracle("relevance_graph", "SELECT count(*) AS customers, round(avg(relevance), 9
        *_GRAPH_CTES, *_relevance_ctes("graph"))
 
 
+# --- trained models: what holds whatever the model ---------------------------------------
+
+_UNOWNED = ("unowned", """
+    SELECT customer_id, least(10, (SELECT count(DISTINCT style_id) FROM invoices) - count(DISTINCT style_id)) AS n
+    FROM invoices GROUP BY customer_id""")
+_COMPLETE = "(SELECT count(DISTINCT customer_id) FROM flong)"
+
+for _name in ("als_explicit_recs", "als_implicit_recs"):
+    oracle(_name, """
+        SELECT customer_id, n AS n_suggested, CAST(0 AS BIGINT) AS n_owned, n AS n_scored FROM unowned WHERE n > 0""", _UNOWNED)
+
+oracle("kmeans_recs", f"""
+    SELECT {_COMPLETE} AS customers, CAST(0 AS BIGINT) AS farther, CAST(0 AS BIGINT) AS owned,
+           CAST(0 AS BIGINT) AS above_k""", *_feature_ctes())
+
+oracle("model_roundtrip", f"""
+    SELECT (SELECT count(*) FROM r) AS pairs, CAST(0 AS BIGINT) AS other_predictions,
+           {_COMPLETE} AS customers, CAST(0 AS BIGINT) AS other_segments""", *_feature_ctes(), _RATINGS)
+
+
+def _runs(sets: list[dict], customers: str) -> str:
+    """A row per parameter set with the customers every run must score."""
+    rows = ", ".join(f"({i}, '{tune.params_text(p)}')" for i, p in enumerate(sets))
+    return f"""SELECT CAST(s.run_id AS INTEGER) AS run_id, s.params, {customers} AS customers, true AS percentage
+               FROM (VALUES {rows}) s(run_id, params)"""
+
+
+_WITH_UNOWNED = "(SELECT count(*) FROM unowned WHERE n > 0)"
+oracle("relevance_cf", _runs(tune.DEFAULT_CF_SETS, _WITH_UNOWNED), _UNOWNED)
+oracle("sweep_als", _runs(tune.SHORT_CF_SETS, _WITH_UNOWNED), _UNOWNED)
+oracle("relevance_kmc", _runs(tune.DEFAULT_KMEANS_SETS, _COMPLETE), *_feature_ctes())
+oracle("sweep_kmeans", _runs(tune.SHORT_KMEANS_SETS, _COMPLETE), *_feature_ctes())
+oracle("sweep_features", _runs(tune.SHORT_FEATURE_SETS, _COMPLETE), *_feature_ctes())
+
 # --- reference-layout CSV round trip: same definitions as the direct queries ----------
 
 ORACLE["csv_spend_stats"] = ORACLE["customer_spend_stats"]

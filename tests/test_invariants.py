@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartwheel.operators import basket, features, postfilter, similarity
-from cartwheel.operators.skew import Skew, hot_keys, salted_join
+from cartwheel.operators import basket, evaluate, features, postfilter, segments, similarity
+from cartwheel.operators.skew import CELL, Grid, hot_keys, salted_join
+from cartwheel.session import materialize
 from cartwheel.sources.mart import load_mart
 from conftest import SF_SMALL
 
@@ -84,34 +85,103 @@ def test_salted_join_equals_plain_join(spark):
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"),
         F.col("id").alias("v"))
     other = spark.range(200).select((F.col("id") % 50).alias("k"), F.col("id").alias("w"))
-    skew = Skew(hot_fraction=0.05, max_salts=8)
-    hot = {r.k: r._salts for r in hot_keys(big, ["k"], skew).collect()}
+    hot = {r.k: r._salts for r in hot_keys(big, other, ["k"], 16).collect()}
     assert hot and hot[0] > 1
-    salted = salted_join(big, other, ["k"], salt_by=["v"], skew=skew)
+    salted = salted_join(big, other, ["k"], salt_by=["v"], partitions=16)
     plain = big.join(other, "k")
     assert sorted(map(tuple, salted.select("k", "v", "w").collect())) == \
         sorted(map(tuple, plain.select("k", "v", "w").collect()))
-    left = salted_join(big, other.filter("k < 10"), ["k"], salt_by=["v"], how="left", skew=skew)
+    left = salted_join(big, other.filter("k < 10"), ["k"], salt_by=["v"], how="left", partitions=16)
     assert left.count() == big.join(other.filter("k < 10"), "k", "left").count()
 
 
-def test_broadcast_and_shuffle_plans_agree(mart):
-    """The size-checked broadcast plans and the salted shuffle fallbacks give
-    the same rows."""
+def test_few_and_many_cells_agree(mart):
+    """The scores do not depend on the shape of the grid."""
     a = basket.basket_scores(mart.invoices)
-    b = basket.basket_scores(mart.invoices, broadcast_rows=None)
+    b = basket.basket_scores(mart.invoices, per_cell=20_000)
     ra = {(r.customer_id, r.style_id, r.ref_id): r.score for r in a.collect()}
     rb = {(r.customer_id, r.style_id, r.ref_id): r.score for r in b.collect()}
     assert ra.keys() == rb.keys()      # sums differ only in summation order
     assert all(abs(ra[k] - rb[k]) <= 1e-12 for k in ra)
-    e = similarity.edges(mart)
+    e = materialize(similarity.edges(mart))
     cos = similarity.customer_cosine(e)
     g1 = similarity.graph_recommendations(e, cos)
-    g2 = similarity.graph_recommendations(e, cos, broadcast_rows=None)
-    r1 = {(r.customer_id, r.style_id): r.score for r in g1.collect()}
-    r2 = {(r.customer_id, r.style_id): r.score for r in g2.collect()}
-    assert r1.keys() == r2.keys()      # sums differ only in summation order
+    g2 = similarity.graph_recommendations(e, cos, per_cell=20_000)
+    g3 = similarity.graph_scores(e, per_cell=20_000)
+    r1, r2, r3 = ({(r.customer_id, r.style_id): r.score for r in g.collect()} for g in (g1, g2, g3))
+    assert r1.keys() == r2.keys() == r3.keys()
     assert all(abs(r1[k] - r2[k]) <= 1e-9 * max(1.0, abs(r1[k])) for k in r1)
+    assert all(abs(r1[k] - r3[k]) <= 1e-9 * max(1.0, abs(r1[k])) for k in r1)
+
+
+def test_universal_product_is_spread_over_cells(spark):
+    """A product that everybody bought, and a customer who bought everything: the
+    joined rows spread evenly over the cells, and salts follow the join's rows."""
+    everybody = spark.range(400).select(F.col("id").alias("customer_id"), F.lit(0).cast("long").alias("i1"))
+    everything = spark.range(400).select(F.lit(0).cast("long").alias("customer_id"), F.col("id").alias("i1"))
+    left = everybody.union(everything).distinct()
+    right = spark.range(400).select(F.lit(0).cast("long").alias("i1"), F.col("id").alias("sk2"))
+    grid = Grid.sized(left, 800, 400, 160_000, per_cell=8_000)
+    assert grid.rows * grid.cols >= 20
+    j = grid.join(left, right, ["i1"], "customer_id", "sk2")
+    cells = [r["count"] for r in j.groupBy(CELL).count().collect()]
+    assert sum(cells) == 400 * 400 and len(cells) >= 20
+    assert max(cells) < 3 * sum(cells) / len(cells)
+    salts = hot_keys(left.withColumnRenamed("i1", "k"), left.withColumnRenamed("i1", "k"), ["k"], 16).collect()
+    assert [(r.k, r._salts >= 15) for r in salts] == [(0, True)]
+
+
+def test_basket_plan_moves_no_candidate(mart):
+    """No exchange between the grid join and the per-customer ranking, no broadcast hint."""
+    plan = basket.basket_top_k(mart.invoices, 10)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    first = next(i for i, x in enumerate(lines) if "hashpartitioning(customer_id" in x)
+    grid_join = next(i for i, x in enumerate(lines) if "ShuffledHashJoin" in x and "i1#" in x)
+    between = [x for x in lines[first + 1:grid_join] if "Exchange" in x and "passthrough" not in x]
+    assert not between
+
+
+def test_batch_equals_cohort(mart, spark):
+    """Each technique answers a cohort as it answers everybody."""
+    cohort = spark.createDataFrame([(3,), (7,), (12,)], "customer_id long")
+    e = materialize(similarity.edges(mart))
+    vec = materialize(features.feature_vectors(mart))
+    centres = vec.filter("customer_id % 20 = 1").select(F.col("customer_id").cast("int").alias("segment"),
+                                                       F.col("values").alias("centre"))
+    a = segments.segment_model(vec, centres)[2]
+    inv = mart.invoices
+
+    def rel(cohort=None):
+        s = inv.select("customer_id", "style_id").distinct().withColumn("customer_id", F.col("customer_id") + 1)
+        return evaluate.relevance_by_customer(s.withColumn("score", F.lit(1.0)), inv, mart.products, cohort=cohort)
+
+    for every, some in (
+            (basket.basket_top_k(inv, 5, score_digits=9), basket.basket_top_k(inv, 5, cohort, score_digits=9)),
+            (similarity.graph_scores(e), similarity.graph_scores(e, cohort=cohort)),
+            (segments.segment_recommendations(inv, a), segments.segment_recommendations(inv, a, cohort)),
+            (segments.segment_top_k(inv, a, 5), segments.segment_top_k(inv, a, 5, cohort=cohort)),
+            (features.feature_vectors(mart).drop("features"), features.feature_vectors(mart, cohort=cohort).drop("features")),
+            (rel(), rel(cohort))):
+        def key(df):
+            return sorted(tuple(round(v, 6) if isinstance(v, float) else str(v)[:60] for v in r) for r in df.collect())
+        expect = key(every.join(cohort, "customer_id", "left_semi"))
+        assert expect and key(some) == expect
+
+
+def test_segment_top_k_equals_filtered_full_scores(mart):
+    """The ranking per segment gives what filtering and ranking all scores gives."""
+    vec = materialize(features.feature_vectors(mart))
+    centres = vec.filter("customer_id % 20 = 1").select(F.col("customer_id").cast("int").alias("segment"),
+                                                       F.col("values").alias("centre"))
+    a = segments.segment_model(vec, centres)[2]
+    full = segments.segment_recommendations(mart.invoices, a)
+    for args in ((-1,), (24, "2001-08-01"), (24, "2001-08-01", True)):
+        expect = postfilter.exclude_recent(full, mart.invoices, *args)
+        expect = postfilter.top_k(postfilter.exclude_tags(expect, mart.mixes, ["MIX_2"]), 7)
+        got = segments.segment_top_k(mart.invoices, a, 7, *args,
+                                     keep=lambda s: postfilter.exclude_tags(s, mart.mixes, ["MIX_2"]))
+        key = lambda df: sorted((r.customer_id, r.rank, r.style_id, round(r.score, 2)) for r in df.collect())
+        assert key(expect) and key(got) == key(expect)
 
 
 def test_top_k_plan_equals_filtered_full_scores(mart):

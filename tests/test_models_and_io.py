@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from cartwheel.operators import factors, features, segments
+from cartwheel.operators import factors, features, segments, tune
 from cartwheel.session import scratch_path
 from cartwheel.sources import files, sinks, warehouse
 from cartwheel.sources.mart import load_mart
@@ -66,14 +66,14 @@ def test_fallback_walks_to_populated_segment(spark):
     assert pops == {0: 6, 1: 1}
     a = {r.customer_id: (r.nearest, r.segment, r.fallback_rank) for r in assigned.collect()}
     assert a[6] == (1, 0, 1) and a[0] == (0, 0, 0)
-    # the distributed path for large models gives the same answer
-    old = segments.MAX_INLINE_CENTRES
-    segments.MAX_INLINE_CENTRES = 0
+    # blocks of one centre and slices of one customer give the same answer
+    old = segments.CENTRES_PER_BLOCK, segments.DISTANCES_AT_A_TIME
+    segments.CENTRES_PER_BLOCK = segments.DISTANCES_AT_A_TIME = 1
     try:
         b = {r.customer_id: (r.nearest, r.segment, r.fallback_rank)
              for r in segments.assign_segments(vec, centres, pops_df).collect()}
     finally:
-        segments.MAX_INLINE_CENTRES = old
+        segments.CENTRES_PER_BLOCK, segments.DISTANCES_AT_A_TIME = old
     assert b == a
 
 
@@ -117,3 +117,21 @@ def test_warehouse_shapes(spark):
     m = warehouse.margin_lines(spark, SF_SMALL)
     assert m.filter(F.col("margin_pct").isNull()).count() == 0
     assert warehouse.product_star(spark, SF_SMALL).count() > 0
+
+
+def test_best_model_of_each_parameter_set(spark):
+    rows = [('{"k": 3, "model": 0}', 5, 40.0), ('{"k": 3, "model": 1}', 5, 60.0), ('{"k": 3, "model": 2}', 5, 60.0),
+            ('{"k": 4, "model": 0}', 5, 10.0)]
+    got = tune.best_runs(spark.createDataFrame(rows, "params string, customers long, relevance double"))
+    assert sorted(map(tuple, got.collect())) == [('{"k":"3"}', 1, 5, 60.0), ('{"k":"4"}', 0, 5, 10.0)]
+
+
+def test_als_long_lists_are_asked_in_groups(mart, spark):
+    """A buyer of almost every style leaves the others' lists whole and gets the rest."""
+    styles = [r.style_id for r in mart.invoices.select("style_id").distinct().collect()]
+    most = spark.createDataFrame([(10_000, s, 5.0) for s in styles[3:]], "customer_id long, style_id string, rating double")
+    r = factors.ratings(mart.invoices).unionByName(most)
+    recs = factors.recommend(factors.fit_als(r, rank=4, max_iter=2, reg=0.1, seed=1), r, 5)
+    n = {x.customer_id: x["count"] for x in recs.groupBy("customer_id").count().collect()}
+    assert n.pop(10_000) == 3 and set(n.values()) == {5}
+    assert recs.join(r, ["customer_id", "style_id"]).count() == 0
