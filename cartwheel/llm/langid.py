@@ -110,7 +110,7 @@ def train(docs: DataFrame, per_lang: int = 1_500, features: int = 60_000) -> Mod
     known = docs.filter("lang is not null and text is not null")
     have = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     below = F.ceil(F.lit(float(per_lang * SHARES)) / F.col("_n"))
-    some = materialize(known.select("doc_id", "lang").join(have, "lang")
+    some = materialize(known.select("doc_id", "lang").join(F.broadcast(have), "lang")    # a row per language, as in the model
                        .filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < below)
                        .select("doc_id", "lang").distinct(), "language-sample")
     if some.count() <= BROADCAST_IDS:
@@ -159,8 +159,10 @@ def word_scores(words: list[str], m: Model) -> np.ndarray:
     logp = m.logp[at[at >= 0]]
     sums = np.stack([np.bincount(of, logp[:, k], minlength=n) for k in range(langs)], axis=1)
     known = np.bincount(of, minlength=n)
-    nobody = np.zeros(langs, bool)
-    ok = np.array([m.candidates.get(script(w[0]), nobody) for w in words], bool).reshape(n, langs)
+    may = np.stack([np.zeros(langs, bool), *m.candidates.values()])
+    row = {name: i for i, name in enumerate(m.candidates, 1)}
+    first = {c: row.get(script(c), 0) for c in {w[0] for w in words}}
+    ok = may[np.fromiter((first[w[0]] for w in words), np.int64, n)]
     mean = np.where(ok, sums, 0).sum(axis=1) / np.maximum(ok.sum(axis=1), 1)
     s = np.clip(sums - mean[:, None], -CLIP, CLIP)
     s[known == 0] = 0.0
