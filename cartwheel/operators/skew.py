@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 CELL = "_cell"
-ROWS_PER_CELL = 2_000_000    # joined rows a cell is sized for
+ROWS_PER_CELL = 1_000_000    # joined rows a cell is sized for
 INPUT_PER_CELL = 1_000_000   # rows of either side a cell is sized for
 
 
@@ -98,7 +98,8 @@ class Grid:
     def _placed(self, df: DataFrame, row, col) -> DataFrame:
         placed = df.withColumn("_g", row).withColumn("_h", col)
         placed = placed.withColumn(CELL, F.col("_g") * self.cols + F.col("_h")).drop("_g", "_h")
-        return placed.repartitionById(self.rows * self.cols, F.col(CELL))
+        # hashed when joined: a sort-merge join would sort the far larger joined rows
+        return placed.repartitionById(self.rows * self.cols, F.col(CELL)).hint("shuffle_hash")
 
     def along_rows(self, df: DataFrame, row_key: str) -> DataFrame:
         """``df`` copied to every cell of its row of cells."""
@@ -116,4 +117,4 @@ class Grid:
         """``left.join(right, on)`` with the cell of (``row_key`` of left, ``col_key`` of
         right) in the column ``CELL``; group and join by ``CELL`` and further keys
         without another exchange."""
-        return self.along_rows(left, row_key).hint("shuffle_hash").join(self.along_cols(right, col_key), [CELL, *on])
+        return self.along_rows(left, row_key).join(self.along_cols(right, col_key), [CELL, *on])

@@ -489,6 +489,20 @@ def scored_runs(runs, m):
     return r.select("run_id", "params", "customers", F.col("relevance").between(0, 100).alias("percentage"))
 
 
+def scored_kmeans(spark, sf_dir, param_sets):
+    """As ``scored_runs``, a row per set. Every customer with features is answered once
+    one segment has more members than ``segments.MIN_POPULATION``; some segment has
+    if there are more than k times as many customers, else customers is null."""
+    m = load_mart(spark, sf_dir)
+    sets = spark.createDataFrame([(i, tune.params_text(p), p["k"]) for i, p in enumerate(param_sets)],
+                                 "run_id int, params string, k int")
+    runs = scored_runs(tune.kmeans_runs(spark, m, param_sets, seed=SEED), m)
+    sure = F.lit(features.complete_customers(m).count()) > F.col("k") * segments.MIN_POPULATION
+    return sets.join(runs, ["run_id", "params"], "left").select(
+        "run_id", "params", F.when(sure, F.coalesce("customers", F.lit(0))).alias("customers"),
+        F.coalesce("percentage", F.lit(True)).alias("percentage"))
+
+
 @query("relevance_cf")
 def relevance_cf(spark, sf_dir):
     """V5: explicit and implicit ALS scored in one query."""
@@ -498,16 +512,14 @@ def relevance_cf(spark, sf_dir):
 
 @query("relevance_kmc")
 def relevance_kmc(spark, sf_dir):
-    m = load_mart(spark, sf_dir)
-    return scored_runs(tune.kmeans_runs(spark, m, tune.DEFAULT_KMEANS_SETS, seed=SEED), m)
+    return scored_kmeans(spark, sf_dir, tune.DEFAULT_KMEANS_SETS)
 
 
 @query("sweep_kmeans")
 def sweep_kmeans(spark, sf_dir, param_sets=tune.SHORT_KMEANS_SETS):
     """V9 over the given sets: four by default, the whole grid as
     ``tune.grid(k=tune.KMEANS_CLUSTERS, max_iter=tune.KMEANS_ITERATIONS)``."""
-    m = load_mart(spark, sf_dir)
-    return scored_runs(tune.kmeans_runs(spark, m, param_sets, seed=SEED), m)
+    return scored_kmeans(spark, sf_dir, param_sets)
 
 
 @query("sweep_als")
@@ -522,8 +534,7 @@ def sweep_als(spark, sf_dir, param_sets=tune.SHORT_CF_SETS):
 def sweep_features(spark, sf_dir, param_sets=tune.SHORT_FEATURE_SETS):
     """V10 over the given sets: the pairs of four features by default, subsets of
     all as ``tune.feature_subsets(tune.DIMENSION_CANDIDATES, r)``."""
-    m = load_mart(spark, sf_dir)
-    return scored_runs(tune.kmeans_runs(spark, m, param_sets, seed=SEED), m)
+    return scored_kmeans(spark, sf_dir, param_sets)
 
 
 # --- reports and export (S10-S14, R14) ------------------------------------------------
