@@ -441,12 +441,11 @@ oracle("factor_scores", """
     SELECT r.customer_id, r.style_id,
            round(list_sum(list_transform(range(32),
                  lambda k: CAST(u.embedding[k + 1] AS DOUBLE) * CAST(v.embedding[33 + k] AS DOUBLE))), 9) AS score
-    FROM r
-    CROSS JOIN (SELECT count(*) AS n FROM embeddings) k
-    JOIN embeddings u ON u.vec_id = r.customer_id % k.n
-    JOIN (SELECT style_id, dense_rank() OVER (ORDER BY style_id) - 1 AS slot
+    FROM (SELECT customer_id, style_id, customer_id % (SELECT count(*) FROM embeddings) AS uk FROM r) r
+    JOIN embeddings u ON u.vec_id = r.uk
+    JOIN (SELECT style_id, (dense_rank() OVER (ORDER BY style_id) - 1) % (SELECT count(*) FROM embeddings) AS slot
           FROM (SELECT DISTINCT style_id FROM r)) idx ON idx.style_id = r.style_id
-    JOIN embeddings v ON v.vec_id = idx.slot % k.n""", _RATINGS)
+    JOIN embeddings v ON v.vec_id = idx.slot""", _RATINGS)
 
 # --- relevance score ------------------------------------------------------------------------
 
