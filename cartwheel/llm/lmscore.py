@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,21 +72,23 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     Words are runs of characters other than space and \\t-\\r, lower-cased (A-Z).
     A document is never cut; one longer than a chunk is a chunk of its own. Null
-    text is a document of no words; a null id is kept.
+    text is a document of no words; a null id is kept. A chunk is told by its
+    partition and its place there, so chunks of equal documents stay apart and a
+    repeated task numbers alike.
     """
     def run(batches):
+        key = TaskContext.get().partitionId() << 32
         number: defaultdict = defaultdict()
         number.default_factory = number.__len__
         ids, sizes, tokens, held = [], [], [], 0
 
         def close():
-            nonlocal number, ids, sizes, tokens, held
+            nonlocal key, number, ids, sizes, tokens, held
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
             order = np.argsort(hashes)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             flat = place[np.concatenate(tokens)] if held else np.zeros(0, np.uint32)
-            key = xxhash.xxh64_intdigest(repr((ids[:3], ids[-1], len(ids), held)).encode()) >> 1
             out = pa.RecordBatch.from_pydict({
                 "chunk": pa.array([key], pa.int64()), "n_tokens": pa.array([held], pa.int64()),
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64())),
@@ -95,6 +97,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             number = defaultdict()
             number.default_factory = number.__len__
             ids, sizes, tokens, held = [], [], [], 0
+            key += 1
             return out
 
         for b in batches:

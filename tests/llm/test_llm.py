@@ -249,6 +249,9 @@ def test_viterbi_equals_all_paths(spark, odd, empty):
     m = langid.train(odd)
     got = {r.doc_id: r.lang_pred for r in langid.identify(odd, m).collect()}
     assert got[3] == got[4] == got[5] == "und" and got[1] == "en"
+    signs = spark.createDataFrame([(1, "\u00b2 \u00bd 12_3"), (2, "\u0431\u0443\u043a\u0432\u044b x\u00b2")], "doc_id long, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(signs, m).collect()}[1] == ("und", 0.0)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(signs, m).collect()}[2] == "en"
     assert langid.identify(empty, langid.train(empty)).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, langid.train(empty)).collect()} == {"und"}
 
@@ -278,6 +281,17 @@ def test_lm_equals_brute_force(spark, odd, empty, docs, monkeypatch):
     assert lmscore.score(empty).count() == 0
 
 
+def test_lm_of_equal_chunks_in_two_partitions(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(lmscore, "PARTITION_NGRAMS", 20_000)
+    once = docs.filter("doc_id < 200").select("doc_id", "text").coalesce(1)
+    for _ in range(2):
+        once.write.mode("append").parquet(str(tmp_path / "twice"))
+    both = spark.read.parquet(str(tmp_path / "twice"))
+    assert len({r.chunk for r in lmscore.chunks(both).select("chunk").collect()}) == 2
+    want = sorted((r.doc_id, round(r.logprob, 6)) for r in lmscore.score(both.coalesce(1)).collect())
+    assert sorted((r.doc_id, round(r.logprob, 6)) for r in lmscore.score(both).collect()) == want
+
+
 # ---- decontamination
 
 def test_decontamination_equals_brute_force(spark, docs, odd, empty):
