@@ -221,10 +221,15 @@ def identify(docs: DataFrame, m: Model, penalty: float = 10.0) -> DataFrame:
             table = np.concatenate([table, word_scores(new, m)]) if new and m.langs else table
             preds, scores, spans = [], [], []
             for words in texts:
+                if not any(c.isalpha() for w in words for c in w):      # none, or only signs such as a raised 2
+                    preds.append(UNDETERMINED)
+                    scores.append(0.0)
+                    spans.append([])
+                    continue
                 s = (table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))]
                      if m.langs else np.zeros((0, 0)))
                 if not s.any():
-                    preds.append(m.usual if words else UNDETERMINED)
+                    preds.append(m.usual)
                     scores.append(0.0)
                     spans.append([])
                     continue
