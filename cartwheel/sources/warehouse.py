@@ -40,6 +40,9 @@ def margin_lines(spark: SparkSession, sf_dir: str, after_month: str = "199512",
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_returnflag", "l_linestatus")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    year, after = int(after_month[:4]), int(after_month[4:])
+    start = F.lit(f"{year + after // 12:04d}-{after % 12 + 1:02d}-01").cast(o.schema["o_orderdate"].dataType)
+    o = o.filter(F.col("o_orderdate") >= start)          # the month after, as a date: reaches the scan
     s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
          .join(s, li.l_suppkey == s.s_suppkey))
@@ -57,7 +60,7 @@ def margin_lines(spark: SparkSession, sf_dir: str, after_month: str = "199512",
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
         spend.alias("spend"), net.alias("net_amount"), margin_pct(net, cost).alias("margin_pct"),
         F.col("l_returnflag"), F.col("l_linestatus"))
-    return (out.filter((F.col("invoice_month") > after_month) & (F.col("net_amount") != 0)
+    return (out.filter((F.col("net_amount") != 0)
                        & (F.col("l_returnflag") != "R") & (F.col("spend") > 0)
                        & F.col("division_id").isin(list(divisions)) & (F.col("l_linestatus") == "O"))
             .drop("l_returnflag", "l_linestatus"))
