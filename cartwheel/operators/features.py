@@ -4,7 +4,8 @@ Per-customer aggregates are computed from invoice lines joined to products on
 the composite key, each pre-aggregated per customer before any join, and the
 19 named features of the catalog are assembled by joining those per-customer
 tables on ``customer_id`` (inner by default: a customer missing any part drops
-out, as in the reference).
+out, as in the reference). Lines are joined to products once and stored; all
+share features are counted in one aggregate over them.
 
 Feature values are kept in long form ``(customer_id, feature, slot, value)``;
 a vector feature (a share over category values, a one-hot) has one slot per
@@ -16,6 +17,7 @@ constant slot is only centred.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
@@ -46,19 +48,28 @@ def lines_with_products(invoices: DataFrame, products: DataFrame, *cols: str) ->
     return invoices.select(CUSTOMER, *ITEM).join(products.select(*ITEM, *cols), ITEM)
 
 
+def dictionaries(values: DataFrame) -> DataFrame:
+    """A19 for many features: the distinct rows of ``values(feature, value)``, each with
+    its 0-based place in its feature in alphabetical order. They are stored in range
+    partitions; a value's slot is its place in its partition after the values of its
+    feature in the partitions before."""
+    d = values.select("feature", "value").distinct()
+    ranges = (d.repartitionByRange(fanout_partitions(values), "feature", "value")
+              .withColumn("_range", F.spark_partition_id()))
+    ranges = materialize(ranges, "dictionary")
+    earlier = Window.partitionBy("feature").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (ranges.groupBy("feature", "_range").agg(F.count(F.lit(1)).alias("_n"))      # a row per feature and partition
+              .select("feature", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    place = F.row_number().over(Window.partitionBy("feature", "_range").orderBy("value")) - 1
+    return (ranges.join(F.broadcast(before), ["feature", "_range"])
+            .select("feature", "value", (F.col("_before") + place).cast("int").alias("slot")))
+
+
 def category_dictionary(values: DataFrame, column: str) -> DataFrame:
     """Distinct values of ``column`` (null as ''), 0-based index in
-    alphabetical order. The distinct values are stored in range partitions; a value's
-    index is its place in its partition after the values of the partitions before."""
-    d = values.select(str_or_empty(column).alias("value")).distinct()
-    ranges = d.repartitionByRange(fanout_partitions(values), "value").withColumn("_range", F.spark_partition_id())
-    ranges = materialize(ranges, "dictionary")
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)       # a row per partition
-    before = (ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-              .select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("value")) - 1
-    return (ranges.join(F.broadcast(before), "_range")
-            .select("value", (F.col("_before") + place).cast("int").alias("slot")))
+    alphabetical order."""
+    return dictionaries(values.select(F.lit(column).alias("feature"), str_or_empty(column).alias("value"))).select(
+        "value", "slot")
 
 
 def share_of_lines(counts: DataFrame, key: str) -> DataFrame:
@@ -97,8 +108,11 @@ def spend_stats(invoices: DataFrame) -> DataFrame:
 def style_stats(invoices: DataFrame, products: DataFrame) -> DataFrame:
     """Per customer over lines matched to live products: mean and sum
     of pile weight, mean introduction year."""
-    j = lines_with_products(invoices, products, "pile_weight", "intro_date")
-    return j.groupBy(CUSTOMER).agg(
+    return _style_means(lines_with_products(invoices, products, "pile_weight", "intro_date"))
+
+
+def _style_means(live: DataFrame) -> DataFrame:
+    return live.groupBy(CUSTOMER).agg(
         F.avg("pile_weight").alias("avg_pile_weight"),
         F.sum("pile_weight").alias("total_pile_weight"),
         F.avg(iso_year("intro_date")).alias("avg_style_year"))
@@ -122,24 +136,32 @@ def one_hot(customers: DataFrame, column: str) -> DataFrame:
 
 # --- the feature catalog ----------------------------------------------------
 
-def _dense(long_shares: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(customer_id, value, share) over a dictionary -> (customer_id, slots array),
-    missing values 0. One small group per customer (bounded by the dictionary)."""
-    n = dictionary.agg(F.count(F.lit(1))).scalar()  # dictionary size, a scalar subquery
-    per = (long_shares.join(dictionary, "value")
-           .groupBy(CUSTOMER).agg(F.map_from_entries(F.collect_list(F.struct("slot", "share"))).alias("m")))
-    per = per.select(CUSTOMER, "m", F.sequence(F.lit(0), n - 1).alias("_slots"))
-    vals = F.transform(F.col("_slots"), lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-    return per.select(CUSTOMER, vals.alias("v"))
+def _tall(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row per row of ``rows`` and feature of ``columns`` (feature -> column), with
+    the columns of ``rows`` that are no values: (customer_id?, feature, value)."""
+    pair = [F.struct(F.lit(n).alias("feature"), str_or_empty(c).alias("value")) for n, c in columns.items()]
+    keep = [c for c in (CUSTOMER,) if c in rows.columns]
+    return rows.select(*keep, F.explode(F.array(*pair)).alias("_p")).select(*keep, "_p.feature", "_p.value")
+
+
+def _dense(entries, size: int):
+    """Array of ``size`` doubles from (slot, share) pairs, 0 where there is none."""
+    e = F.array_sort(F.coalesce(entries, F.array().cast("array<struct<slot:int,share:double>>")))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda i: F.coalesce(F.get(e, i - 1)["slot"], F.lit(-1))
+    filled = F.flatten(F.transform(e, lambda x, i: F.concat(zeros(x["slot"] - before(i) - 1), F.array(x["share"]))))
+    return F.concat(filled, zeros(F.lit(size - 1) - before(F.size(e))))
 
 
-def _join_shares(out: DataFrame, long_shares: DataFrame, dictionary: DataFrame, name: str, how: str) -> DataFrame:
-    """``out`` with its customers' dense shares; zeros where a left join finds none."""
-    out = out.join(_dense(long_shares, dictionary).withColumnRenamed("v", name), CUSTOMER, how)
-    if how == "inner":
-        return out
-    n = dictionary.agg(F.count(F.lit(1))).scalar()
-    return out.withColumn(name, F.coalesce(name, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lit(0.0))))
+def _share_entries(tall: DataFrame, dictionary: DataFrame, names: list[str]) -> DataFrame:
+    """A6, A7 for all share features in one pass: per customer and feature of
+    ``names`` the (slot, share) pairs, bounded by the dictionary."""
+    counts = tall.groupBy(CUSTOMER, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(CUSTOMER, "feature"))
+    shares = (counts.withColumn("share", F.col("n") / total)
+              .join(dictionary, ["feature", "value"]).select(CUSTOMER, "feature", "slot", "share"))
+    return shares.groupBy(CUSTOMER).agg(*[
+        F.collect_list(F.when(F.col("feature") == n, F.struct("slot", "share"))).alias(f"_v_{n}") for n in names])
 
 
 def complete_customers(mart: Mart) -> DataFrame:
@@ -147,10 +169,14 @@ def complete_customers(mart: Mart) -> DataFrame:
     household row for their zip, a line on a live product and a line on a
     tagged product (semi-joins, no feature is computed for this)."""
     lines = mart.invoices.select(CUSTOMER, *ITEM)
-    live = lines.join(mart.products.select(*ITEM), ITEM, "left_semi").select(CUSTOMER)
+    return _complete(mart, lines.join(mart.products.select(*ITEM), ITEM, "left_semi"))
+
+
+def _complete(mart: Mart, live: DataFrame) -> DataFrame:
+    lines = mart.invoices.select(CUSTOMER, *ITEM)
     tagged = lines.join(mart.mixes.select(*ITEM), ITEM, "left_semi").select(CUSTOMER)
     return (customer_households(mart.customers, mart.households).select(CUSTOMER)
-            .join(live, CUSTOMER, "left_semi").join(tagged, CUSTOMER, "left_semi"))
+            .join(live.select(CUSTOMER), CUSTOMER, "left_semi").join(tagged, CUSTOMER, "left_semi"))
 
 
 def feature_arrays(mart: Mart, names: list[str] | None = None, how: str = "inner") -> DataFrame:
@@ -168,31 +194,47 @@ def feature_arrays(mart: Mart, names: list[str] | None = None, how: str = "inner
     unknown = [n for n in names if n not in FEATURE_CATALOG]
     if unknown:
         raise ValueError(f"unknown features: {unknown}")
-    # the lines are a join of two big tables and every part reads them: stored once
+    # the lines are a join of two big tables and every part reads them: stored once, as is their join to products
     mart = replace(mart, invoices=materialize(mart.invoices.select(CUSTOMER, *ITEM, "spend"), "lines"),
                    customers=materialize(mart.customers, "customers"))
     inv, prod, cust = mart.invoices, mart.products, mart.customers
-    out = complete_customers(mart) if how == "inner" else mart.customers.select(CUSTOMER)
+    by_product = {n: c for n, c in PRODUCT_CATEGORY.items() if n in names}
+    by_customer = {n: c for n, c in CUSTOMER_CATEGORY.items() if n in names}
+    style = ["pile_weight", "intro_date"] if set(names) & {"PILE_WEIGHT", "StyleYear"} else []
+    live = materialize(lines_with_products(inv, prod, *by_product.values(), *style), "live-lines")
+
+    out = _complete(mart, live) if how == "inner" else cust.select(CUSTOMER)
     if set(names) & (set(HOUSEHOLD) | {"zip"}):
         out = out.join(customer_households(cust, mart.households), CUSTOMER, how)
-    if set(names) & ({"COMMON_CUSTOMER", "ACTIVE_DATE"} | set(CUSTOMER_CATEGORY)):
-        out = out.join(cust.select(CUSTOMER, "common_customer", "active_date"), CUSTOMER, how)
-    if set(names) & {"PILE_WEIGHT", "StyleYear"}:
-        out = out.join(style_stats(inv, prod), CUSTOMER, how)
+    if set(names) & {"COMMON_CUSTOMER", "ACTIVE_DATE"} or by_customer:
+        out = out.join(cust.select(CUSTOMER, "common_customer", "active_date", *by_customer.values()), CUSTOMER, how)
+    if style:
+        out = out.join(_style_means(live), CUSTOMER, how)
     if set(names) & {"AverageExpenditure", "TotalExpenditure"}:
         out = out.join(spend_stats(inv), CUSTOMER, how)
-    for name, col in PRODUCT_CATEGORY.items():
-        if name in names:
-            out = _join_shares(out, category_share(inv, prod, col), category_dictionary(prod, col), f"_v_{name}", how)
+
+    # values of the categories (their dictionaries) and the lines' values, each as one tall table
+    known, tall = [], []
+    if by_product:
+        known.append(_tall(prod, by_product).select("feature", "value"))
+        tall.append(_tall(live, by_product))
     if "Mix" in names:
-        out = _join_shares(out, tag_share(inv, mart.mixes), category_dictionary(mart.mixes, "mix"), "_v_Mix", how)
-    sizes = {}
-    for name, col in CUSTOMER_CATEGORY.items():
-        if name in names:
-            sizes[name] = category_dictionary(cust, col).agg(F.count(F.lit(1))).scalar()
-            hot = one_hot(cust, col).select(CUSTOMER, F.col("slot").alias(f"_s_{name}"),
-                                            F.sequence(F.lit(0), sizes[name] - 1).alias(f"_q_{name}"))
-            out = out.join(hot, CUSTOMER, "left")
+        known.append(_tall(mart.mixes.select("mix"), {"Mix": "mix"}))
+        tall.append(_tall(inv.select(CUSTOMER, *ITEM).join(mart.mixes.select(*ITEM, "mix"), ITEM), {"Mix": "mix"}))
+    if by_customer:
+        known.append(_tall(cust, by_customer).select("feature", "value"))
+    sizes: dict[str, int] = {}
+    if known:
+        dictionary = materialize(dictionaries(reduce(DataFrame.unionByName, known)), "dictionaries")
+        sizes = {r["feature"]: r["n"] for r in                                        # a row per feature
+                 dictionary.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if tall:
+        shared = [*by_product, *(["Mix"] if "Mix" in names else [])]
+        out = out.join(_share_entries(reduce(DataFrame.unionByName, tall), dictionary, shared), CUSTOMER, "left")
+    for name, col in by_customer.items():
+        slots = dictionary.filter(F.col("feature") == name).select(F.col("value").alias("_value"),
+                                                                   F.col("slot").alias(f"_s_{name}"))
+        out = out.join(slots, str_or_empty(col) == F.col("_value"), "left").drop("_value")
 
     def arr(name: str):
         if name in HOUSEHOLD:
@@ -212,12 +254,11 @@ def feature_arrays(mart: Mart, names: list[str] | None = None, how: str = "inner
         if name == "TotalExpenditure":
             return F.array(F.col("total_spend"))
         if name in CUSTOMER_CATEGORY:
-            hot_slot = F.col(f"_s_{name}")
-            return F.transform(F.col(f"_q_{name}"),
-                               lambda i: F.when(i == hot_slot, F.lit(1.0)).otherwise(F.lit(0.0)))
-        return F.col(f"_v_{name}")
+            return _dense(F.when(F.col(f"_s_{name}").isNotNull(), F.array(F.struct(
+                F.col(f"_s_{name}").alias("slot"), F.lit(1.0).alias("share")))), sizes.get(name, 0))
+        return _dense(F.col(f"_v_{name}"), sizes.get(name, 0))
 
-    return out.select(CUSTOMER, *[arr(n).alias(n) for n in names])
+    return materialize(out.select(CUSTOMER, *[arr(n).alias(n) for n in names]), "feature-arrays")
 
 
 def feature_long(arrays: DataFrame, names: list[str]) -> DataFrame:
@@ -255,11 +296,14 @@ def feature_vectors(mart: Mart, names: list[str] | None = None, cohort: DataFram
     the customers of ``cohort`` (all when None)."""
     names = list(names or DEFAULT_FEATURES)
     arrays = feature_arrays(mart, names)
-    z = zscore(feature_long(arrays, names))
-    if cohort is not None:
-        z = z.join(cohort.select(CUSTOMER).distinct(), CUSTOMER, "left_semi")
     order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    per = z.groupBy(CUSTOMER).agg(
-        F.array_sort(F.collect_list(F.struct(order[F.col("feature")].alias("o"), "slot", "z"))).alias("zs"))
-    values = F.transform(F.col("zs"), lambda s: s["z"])
-    return per.select(CUSTOMER, values.alias("values"), array_to_vector(values).alias("features"))
+    stats = slot_stats(feature_long(arrays, names)).select(order[F.col("feature")].alias("o"), "slot", "mean", "std")
+    # one row, an array as wide as a vector; the subquery stays outside the lambda
+    level = stats.agg(F.array_sort(F.collect_list(F.struct("o", "slot", "mean", "std")))).scalar()
+    if cohort is not None:
+        arrays = arrays.join(cohort.select(CUSTOMER).distinct(), CUSTOMER, "left_semi")
+    rows = arrays.select(CUSTOMER, F.concat(*[F.col(f"`{n}`").cast("array<double>") for n in names]).alias("_raw"),
+                         level.alias("_level"))
+    z = F.zip_with("_raw", "_level", lambda v, s: F.when(s["std"] <= 0, v - s["mean"]).otherwise(
+        (v - s["mean"]) / s["std"]))
+    return rows.select(CUSTOMER, z.alias("values")).withColumn("features", array_to_vector("values"))
