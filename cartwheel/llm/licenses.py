@@ -60,8 +60,17 @@ TEMPLATES = [
     ("proprietary", "All rights reserved."),
     ("proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
 ]
+#: What may stand between two words of a wrapped notice: no letter or digit, and a comment word.
+_GAP = r"[^\p{L}\p{N}]+(?:(?:dnl|rem)[^\p{L}\p{N}]+)?"
 #: A paragraph without any of these cannot hold a template; every template has one.
-ANCHOR = r"(?i)licen[cs]|all rights reserved|permission|redistribut|public domain|waived all copyright"
+ANCHOR = "(?i)" + "|".join(x.replace(" ", _GAP) for x in (
+    "licen[cs]", "all rights reserved", "permission", "redistribut", "public domain", "waived all copyright"))
+#: Comment words that open a line (signs are dropped by ``words``).
+LEADER = r"(?im)^[^\p{L}\p{N}\n]*(?:dnl|rem)(?![\p{L}\p{N}])"
+#: Between two paragraphs: lines without a letter or digit (blank, or a comment sign alone).
+BLANK = r"\n[^\p{L}\p{N}]*\n"
+#: Words of a window and its step; no template is longer than a step, so each lies whole in a window.
+SPAN, STEP = 80, 40
 
 
 def words(text: Column) -> Column:
@@ -71,12 +80,26 @@ def words(text: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, paragraph, words)``: the lines of every text, numbered from 0, that
-    hold an anchor. Null, empty and blank texts have none. A text without an anchor
-    is passed over before it is cut."""
-    lines = docs.filter(F.col("text").rlike(ANCHOR)).select(
-        "doc_id", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("paragraph", "line"))
-    return lines.filter(F.col("line").rlike(ANCHOR)).select("doc_id", "paragraph", words(F.col("line")).alias("words"))
+    """``(doc_id, paragraph, block)``: the paragraphs of every text that hold an anchor,
+    numbered from 0 over all. Paragraphs are parted by lines without a letter or
+    digit; comment words that open a line are dropped. Null, empty and blank texts
+    have none. A text without an anchor is passed over before it is cut."""
+    plain = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), LEADER, "")
+    blocks = docs.filter(F.col("text").rlike(ANCHOR)).select(
+        "doc_id", F.posexplode(F.split(plain, BLANK)).alias("paragraph", "block"))
+    return blocks.filter(F.col("block").rlike(ANCHOR))
+
+
+def passages(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``words``, one row per passage that holds an anchor: each line
+    alone, and the joined lines in windows of ``SPAN`` words, ``STEP`` apart."""
+    lines = F.transform(F.filter(F.split("block", "\n"), lambda x: x.rlike(ANCHOR)), words)
+    n = F.size("_all")
+    starts = F.sequence(F.lit(0), F.greatest(n - STEP - 1, F.lit(0)), F.lit(STEP))
+    windows = F.filter(F.transform(starts, lambda i: F.slice("_all", i + 1, SPAN)),
+                       lambda w: F.array_join(w, " ").rlike(ANCHOR))
+    every = blocks.withColumn("_all", words(F.col("block"))).withColumn("_lines", lines)
+    return every.withColumn("words", F.explode(F.array_distinct(F.concat("_lines", windows)))).drop("_all", "_lines", "block")
 
 
 def pairs(column: str) -> Column:
@@ -161,25 +184,34 @@ def train(spark: SparkSession, docs: DataFrame, background: int = 1_000, slack:
 
 def scan(docs: DataFrame, m: Model) -> DataFrame:
     """``(doc_id, paragraph, family, predicted, probability, similarity)``: one row per
-    line that mentions a license (holds an anchor).
-
-    ``predicted`` is the most probable class; ``family`` is that class if it is above
-    its calibrated threshold and a template of it is confirmed (``similarity``, the
-    largest share of a template's word pairs in the line), else ``unknown``. A null
-    doc_id stays null; repeated rows are each scanned.
+    family found in a paragraph that mentions a license (holds an anchor), or one
+    ``unknown`` row where none is found.
+
+    Every passage of the paragraph is classified. ``predicted`` is its most probable
+    class; ``family`` is that class if it is above its calibrated threshold and a
+    template of it is confirmed (``similarity``, the largest share of a template's
+    word pairs in the passage), else ``unknown``. Of the passages of one family the
+    most similar is shown. A null doc_id stays null; repeated rows are each scanned.
     """
     spark = docs.sparkSession
-    rows = m.features.transform(paragraphs(docs).withColumn("pairs", pairs("words")))
+    blocks = materialize(paragraphs(docs).withColumn("_row", F.monotonically_increasing_id()), "license-paragraphs")
+    rows = m.features.transform(passages(blocks).withColumn("pairs", pairs("words")))
     p = vector_to_array("probability")
     names = F.array(*[F.lit(c) for c in m.classes])
     scored = (m.classifier.transform(rows).withColumn("p", p)
               .withColumn("predicted", F.get(names, F.col("prediction").cast("int")))
-              .select("doc_id", "paragraph", "pairs", "predicted", F.array_max("p").alias("probability")))
+              .select("_row", "doc_id", "paragraph", "pairs", "predicted", F.array_max("p").alias("probability")))
     known = (templates(spark).withColumn("pairs", pairs("words")).groupBy("family")
              .agg(F.collect_list("pairs").alias("templates")).withColumnRenamed("family", "predicted"))
     level = F.coalesce(*[F.when(F.col("predicted") == c, F.lit(v)) for c, v in m.thresholds.items()], F.lit(2.0))
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, "pairs")) / F.size(t)))
     out = scored.join(F.broadcast(known), "predicted", "left").withColumn("similarity", F.coalesce(share, F.lit(0.0)))
     sure = (F.col("probability") >= level) & (F.col("similarity") >= MIN_SIMILARITY)
-    return out.select("doc_id", "paragraph", F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"),
-                      "predicted", "probability", "similarity")
+    best = (out.withColumn("family", F.when(sure, F.col("predicted")).otherwise(UNKNOWN))
+            .groupBy("_row", "doc_id", "paragraph", "family")
+            .agg(F.max(F.struct("similarity", "probability", "predicted")).alias("b")))
+    # a paragraph's rows: its families, or unknown
+    found = best.groupBy("_row", "doc_id", "paragraph").agg(F.collect_list(F.struct("family", "b")).alias("f"))
+    some = F.filter("f", lambda x: x["family"] != UNKNOWN)
+    return found.select("doc_id", "paragraph", F.explode(F.when(F.size(some) > 0, some).otherwise(F.col("f"))).alias("x")).select(
+        "doc_id", "paragraph", "x.family", "x.b.predicted", "x.b.probability", "x.b.similarity")

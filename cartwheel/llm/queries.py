@@ -89,7 +89,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License family of every line of a document that mentions a license."""
+    """License families of every paragraph of a document that mentions a license."""
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.train(spark, docs))
 

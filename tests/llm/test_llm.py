@@ -329,6 +329,36 @@ def test_license_families(spark, empty, odd):
     assert licenses.scan(odd, m).count() == 0 and licenses.scan(empty, m).count() == 0
 
 
+MIT = ["Permission is hereby granted, free of charge, to any person obtaining a copy",
+       "of this software and associated documentation files (the \"Software\"), to deal",
+       "in the Software without restriction, including without limitation the rights",
+       "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+       "copies of the Software, and to permit persons to whom the Software is",
+       "furnished to do so, subject to the following conditions:"]
+BSD = ["Redistribution and use in source and binary forms, with or without",
+       "modification, are permitted provided that the following conditions", "are met:"]
+GPL = ["This program is free software: you can redistribute it and/or modify",
+       "it under the terms of the GNU General Public License as published by",
+       "the Free Software Foundation, either version 3 of the License, or",
+       "(at your option) any later version."]
+ISC = ["Permission to use, copy, modify, and/or distribute this software for any",
+       "purpose with or without fee is hereby granted, provided that the above",
+       "copyright notice and this permission notice appear in all copies."]
+
+
+def test_license_of_wrapped_notices(spark):
+    m = licenses.train(spark, spark.read.parquet(f"{SF}/documents.parquet"), background=300)
+    noise = ["the code of this part was written by hand for the old machine and reads the file line by line"] * 6
+    texts = ["/*\n * Copyright (c) 2019 A. Person\n *\n * " + "\n * ".join(MIT) + "\n */\nint main;", "# " + "\r\n# ".join(BSD),
+             "dnl " + "\ndnl ".join(GPL) + "\ndnl\ndnl end", "\n".join(ISC), "\n".join(noise + BSD + noise),
+             "// Copyright 2020 Foo. All rights\n// reserved.", "\n".join([*noise, "Released under the MIT License.", *noise]),
+             "Released under the MIT License.\nAll rights reserved."]
+    d = spark.createDataFrame([*enumerate(texts), (None, texts[3]), (None, texts[3])], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.family) for r in licenses.scan(d, m).collect())
+    assert got == sorted([("0", "mit"), ("1", "bsd"), ("2", "gpl"), ("3", "isc"), ("4", "bsd"), ("5", "proprietary"), ("6", "mit"),
+                          ("7", "mit"), ("7", "proprietary"), ("None", "isc"), ("None", "isc")])
+
+
 def test_url_history(spark):
     day = lambda s: dt.date.fromisoformat(s)
     e = spark.createDataFrame([
