@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units are replaced by typed placeholders, so that a question with
-other figures has the same template. Windows of template tokens are hashed and
-joined between documents and benchmark items; every alignment found is then compared
-token by token over the whole item, and its slots must map consistently: one value
-of the item always stands for one value of the document.
+other figures has the same template. Every text has two token forms: the template and its
+raw tokens. Windows of tokens are hashed and joined between documents and benchmark
+items within each form; every alignment found is then compared token by token over
+the whole item, together with the nearby shifts, and its slots must map consistently:
+one value of the item always stands for one value of the document.
 
 All steps are DataFrame functions.
 """
@@ -20,6 +21,9 @@ WINDOW = 8
 #: Template tokens of a window that must be words, not placeholders.
 MIN_LITERALS = 4
 MIN_COVERAGE = 0.5
+#: Shifts to both sides of an alignment that count for it, and the run of tokens they must repeat.
+REACH = 0
+MIN_RUN = 4
 #: Rows (two longs each) up to which the distinct benchmark windows may be broadcast.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -28,53 +32,65 @@ UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "lb", "oz", "ml", "l", "inch",
          "meters", "metres", "kilometers", "kilometres", "grams", "kilograms", "pounds", "liters", "litres",
          "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent",
          "kmh", "mph", "celsius", "fahrenheit"]
-NAME_RE = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}\p{L}*"
+_CAP = r"\p{Lu}\p{Ll}\p{L}*+"
+#: Names: capitalised words inside a sentence.
+NAME_RE = rf"(?<=[\p{{L}}\p{{N}},;] ){_CAP}"
 UNIT_RE = r"(?<=[0-9%])[\x20\x09]?(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
-NUMBER_RE = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*%?"
+_NUMBER = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*+%?"
 #: Placeholder tokens: single private-use characters (in a text they read as a slot without a value).
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+NUMBER_RE = _NUMBER
+#: The words and numbers of a slot's value.
+PART_RE = rf"\p{{L}}+|{_NUMBER}"
+#: Token forms: the pattern of names, or none for raw tokens.
+RAW = 2
+FORMS = {0: NAME_RE, RAW: None}
 
 
-def canonical(text: Column) -> tuple[Column, Column, Column, Column]:
+def canonical(text: Column, name_re: str = NAME_RE) -> tuple[Column, Column, Column, Column]:
     """The text in four states: as it is, with names, then units, then numbers
-    replaced. A name is a capitalised word inside a sentence (after a word, comma or
-    semicolon and one space); a unit follows a number."""
+    replaced. A name is a run of capitalised words, by default inside a sentence
+    (after a word, comma or semicolon and one space); a unit follows a number."""
     t0 = F.coalesce(text, F.lit(""))
     digits = t0.rlike("[0-9]")
-    t1 = F.regexp_replace(t0, NAME_RE, f" {NAME} ")
+    t1 = F.regexp_replace(t0, name_re, f" {NAME} ")
     t2 = F.regexp_replace(t1, UNIT_RE, f" {UNIT} ")
     t3 = F.when(digits, F.regexp_replace(t2, NUMBER_RE, f" {NUMBER} ")).otherwise(t1)
     return t0, t1, t2, t3
 
 
-def template(text: Column) -> Column:
-    """Template tokens: runs of letters, digits and placeholders, lower-cased. The
-    first and last token may be empty (no item token is)."""
-    return F.split(F.lower(canonical(text)[3]), rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+")
+def template(text: Column, form: int = 0) -> Column:
+    """Tokens of a form: runs of letters, digits and placeholders, lower-cased; raw
+    tokens carry their values. The first and last token may be empty (no item token is)."""
+    if form == RAW:
+        return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.split(F.lower(canonical(text, FORMS[form])[3]), rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+")
 
 
-def _with_slots(df: DataFrame) -> DataFrame:
-    """``df(text)`` with ``t`` and the values replaced, in order, per placeholder."""
-    t0, t1, t2, _ = canonical(F.col("text"))
+def _with_slots(df: DataFrame, form: int) -> DataFrame:
+    """``df(text)`` with ``form``, ``t`` and the values replaced, in order, per placeholder."""
+    df = df.withColumn("form", F.lit(form)).withColumn("t", template(F.col("text"), form))
+    if form == RAW:
+        return df.withColumns({c: F.array().cast("array<string>") for c in ("names", "units", "numbers")})
+    t0, t1, t2, _ = canonical(F.col("text"), FORMS[form])
     whole = F.lit(0)
-    return (df.withColumn("t", template(F.col("text")))
-            .withColumn("names", F.regexp_extract_all(t0, F.lit(NAME_RE), whole))
+    return (df.withColumn("names", F.regexp_extract_all(t0, F.lit(FORMS[form]), whole))
             .withColumn("units", F.regexp_extract_all(t1, F.lit(UNIT_RE), whole))
             .withColumn("numbers", F.regexp_extract_all(t2, F.lit(NUMBER_RE), whole)))
 
 
 def _values(prefix: str) -> Column:
-    """The tokens of ``<prefix>t`` with placeholders as ``(type, value)``."""
+    """The placeholders of ``<prefix>t`` as ``(i, type, parts)``."""
     t = F.col(f"{prefix}t")
 
-    def value(i: Column) -> Column:
-        x = t[i]
-        nth = F.size(F.filter(F.slice(t, F.lit(1), i + 1), lambda y: y == x)) - 1
-        of = (F.when(x == NAME, F.get(f"{prefix}names", nth)).when(x == UNIT, F.trim(F.get(f"{prefix}units", nth)))
-              .otherwise(F.get(f"{prefix}numbers", nth)))
-        return F.struct(i.alias("i"), x.alias("type"), F.lower(of).alias("value"))
+    def of(kind: str, column: str) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: t[i] == kind)
+        value = F.zip_with(at, F.col(f"{prefix}{column}"), lambda i, v: F.struct(
+            i.alias("i"), F.lit(kind).alias("type"),
+            F.regexp_extract_all(F.lower(F.coalesce(v, F.lit(""))), F.lit(PART_RE), F.lit(0)).alias("parts")))
+        return F.filter(value, lambda x: x["i"].isNotNull())
 
-    return F.transform(F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: t[i].isin(NAME, NUMBER, UNIT)), value)
+    return F.concat(of(NAME, "names"), of(UNIT, "units"), of(NUMBER, "numbers"))
 
 
 def _windows(tokens: DataFrame, keep: list[str], size: int) -> DataFrame:
@@ -87,75 +103,155 @@ def _windows(tokens: DataFrame, keep: list[str], size: int) -> DataFrame:
     return at.select(*keep, "at", F.xxhash64(*[F.get("t", F.col("at") + i) for i in range(size)]).alias("h"))
 
 
-def _literals(t: str, start: Column, size: Column | int) -> Column:
-    return F.size(F.filter(F.slice(t, start, size), lambda x: ~x.isin(NAME, NUMBER, UNIT)))
+def _literals(start: Column, size: int) -> Column:
+    return F.size(F.filter(F.slice("t", start, size), lambda x: ~x.isin(NAME, NUMBER, UNIT)))
+
+
+def _hashed(tokens: DataFrame, keep: list[str], w: int) -> DataFrame:
+    """Windows of ``w`` tokens."""
+    return _windows(tokens, keep, w).withColumn("w", F.lit(w))
 
 
 def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, item_id, shift, coverage, exact, consistent)``: one row per document,
-    item and shift (token position in the document less that in the item) that
-    share a template window.
-
-    Coverage is the share of the item's template tokens that the document repeats
-    in place. ``exact``: the covered tokens have equal values; ``consistent``: no
-    value of the item's slots stands for two values of the document. Items of fewer
-    than ``window`` tokens are matched as one window of their length; items of
-    fewer than four tokens, and windows of fewer than four words that are no
-    placeholders, are no evidence and match nothing. Null texts have no tokens;
-    rows without id are left out; repeated rows count once.
+    """``(doc_id, item_id, form, shift, size, coverage, exact, consistent)``: one row per
+    document, item, form and shift (token position in the document less that in the
+    item) that share a window.
+
+    Coverage is the share of the item's ``size`` tokens that the document repeats in
+    place, or at up to ``REACH`` other shifts to both sides in runs of ``MIN_RUN``
+    tokens (of two, in items of fewer than two windows). ``exact``: the covered tokens have equal values; ``consistent``: no value
+    of the item's slots stands for two values of the document. Raw tokens count in
+    runs of a window only. Items of fewer than ``window`` tokens are matched as one
+    window of their length. Items of fewer than four tokens,
+    and template windows of fewer than four words that are no placeholders, are no
+    evidence and match nothing. Null texts have no tokens; rows without id are left
+    out; repeated rows count once.
     """
-    bench = _with_slots(items.filter("item_id is not null").select("item_id", "text").distinct())
-    bench = bench.withColumn("t", F.filter("t", lambda x: x != "")).filter(F.size("t") >= MIN_LITERALS)
-    bench = materialize(bench.withColumn("w", F.least(F.size("t"), F.lit(window))), "benchmark")
-    sizes = sorted(r["w"] for r in bench.select("w").distinct().collect())      # at most `window` values
-    windows = bench.select(F.lit(0).alias("w"), F.lit(0).cast("long").alias("h"), "item_id",
-                           F.lit(0).alias("item_at")).limit(0)
-    for n in sizes:
-        of = bench.filter(F.col("w") == n)
-        full = (_windows(of, ["item_id"], n).join(of.select("item_id", "t"), "item_id")
-                .filter(_literals("t", F.col("at") + 1, n) >= MIN_LITERALS))
-        windows = windows.unionByName(full.select(F.lit(n).alias("w"), "h", "item_id", F.col("at").alias("item_at")))
+    texts = items.filter("item_id is not null").select("item_id", "text").distinct()
+    bench = _with_slots(texts, 0)
+    for form in list(FORMS)[1:]:
+        bench = bench.unionByName(_with_slots(texts, form))
+    n = F.size("t")
+    bench = bench.withColumn("t", F.filter("t", lambda x: x != "")).filter(n >= MIN_LITERALS)
+    bench = materialize(bench.withColumn("w", F.array_compact(F.array(
+        F.least(n, F.lit(window))))), "benchmark")
+    sizes = sorted((r["form"], r["w"]) for r in bench.select("form", F.explode("w").alias("w")).distinct().collect())
+    windows = bench.select("form", F.lit(0).alias("w"), F.lit(0).cast("long").alias("h"), "item_id",
+                           F.lit(0).alias("item_at")).limit(0)                  # at most `window` sizes a form
+    for form, w in sizes:
+        of = bench.filter((F.col("form") == form) & F.array_contains("w", w)).select("form", "item_id", "t")
+        full = _hashed(of, ["form", "item_id", "t"], w)
+        if form != RAW:
+            full = full.filter(_literals(F.col("at") + 1, w) >= MIN_LITERALS)
+        windows = windows.unionByName(full.select("form", "w", "h", "item_id", F.col("at").alias("item_at")).distinct())
     windows = materialize(windows, "benchmark-windows")
-    known = windows.select("w", "h").distinct()
+    known = windows.select("form", "w", "h").distinct()
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
 
-    tokens = docs.filter("doc_id is not null and text is not null").select(
-        "doc_id", template(F.col("text")).alias("t"))
-    found = windows.select("w", "h", F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("at")).limit(0)
-    for n in sizes:
-        own = _windows(tokens, ["doc_id"], n).withColumn("w", F.lit(n))
-        found = found.unionByName(own.join(known, ["w", "h"], "left_semi").select("w", "h", "doc_id", "at"))
+    own_docs = docs.filter("doc_id is not null and text is not null")
+    found = windows.select("form", "w", "h", F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("at")).limit(0)
+    for form, w in sizes:
+        tokens = own_docs.select("doc_id", template(F.col("text"), form).alias("t"))
+        own = _hashed(tokens, ["doc_id"], w).withColumn("form", F.lit(form))
+        found = found.unionByName(own.join(known, ["form", "w", "h"], "left_semi").select("form", "w", "h", "doc_id", "at"))
     found = materialize(found, "window-hits")
-    pairs = (found.join(windows, ["w", "h"])
-             .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+    pairs = (found.join(windows, ["form", "w", "h"])
+             .select("doc_id", "item_id", "form", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
     pairs = materialize(pairs, "alignments")
 
-    some = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").distinct()
     slots = ["t", "names", "units", "numbers"]
-    d = _with_slots(some).select("doc_id", *[F.col(c).alias(f"d_{c}") for c in slots])
-    d = d.withColumn("d_slots", _values("d_")).select("doc_id", "d_t", "d_slots")
-    b = bench.select("item_id", *[F.col(c).alias(f"b_{c}") for c in slots])
-    b = b.withColumn("b_slots", _values("b_")).select("item_id", "b_t", "b_slots")
-    place = F.sequence(F.lit(0), F.size("b_t") - 1)
-    same = F.filter(place, lambda i: (i + F.col("shift") >= 0) & F.coalesce(
-        F.get("d_t", F.greatest(i + F.col("shift"), F.lit(0))) == F.col("b_t")[i], F.lit(False)))
-    met = F.flatten(F.transform("b_slots", lambda s: F.transform(
-        F.filter("d_slots", lambda x: (x["i"] == s["i"] + F.col("shift")) & (x["type"] == s["type"])),
-        lambda x: F.struct(s["type"].alias("type"), s["value"].alias("b"), x["value"].alias("d")))))
-    out = pairs.join(b, "item_id").join(d, "doc_id").withColumn("same", same).withColumn("met", F.array_distinct(met))
-    sources = F.array_distinct(F.transform("met", lambda s: F.struct(s["type"], s["b"])))
-    return out.select(
-        "doc_id", "item_id", "shift", (F.size("same") / F.size("b_t")).alias("coverage"),
-        (~F.exists("met", lambda s: ~s["b"].eqNullSafe(s["d"]))).alias("exact"),
-        (F.size("met") == F.size(sources)).alias("consistent"))
+    d = None
+    for form in FORMS:
+        some = docs.join(pairs.filter(F.col("form") == form).select("doc_id").distinct(), "doc_id", "left_semi")
+        of = _with_slots(some.select("doc_id", "text").distinct(), form)
+        of = of.select("doc_id", "form", *[F.col(c).alias(f"d_{c}") for c in slots])
+        d = of if d is None else d.unionByName(of)
+    d = d.withColumn("d_slots", _values("d_")).select("doc_id", "form", "d_t", "d_slots")
+    b = bench.select("item_id", "form", *[F.col(c).alias(f"b_{c}") for c in slots])
+    b = b.withColumn("b_slots", _values("b_")).select("item_id", "form", "b_t", "b_slots")
+    out = pairs.join(b, ["item_id", "form"]).join(d, ["doc_id", "form"])
+
+    n = F.size("b_t")
+    place = F.sequence(F.lit(0), n - 1)
+    shift = F.col("shift")
+    raw = F.col("form") == RAW
+    run = F.least(n, F.when(raw, F.lit(window)).when(n < 2 * window, 2).otherwise(MIN_RUN))
+    near = F.array(*[F.lit(x) for x in sorted(range(-REACH, REACH + 1), key=abs)])
+    # by element, not by slices of d_t: a slice copies the whole document
+    hits = F.transform(near, lambda by: F.filter(place, lambda i: F.coalesce(
+        F.get("d_t", i + shift + by) == F.get("b_t", i), F.lit(False))))
+    out = out.withColumn("hits", hits).withColumn("run", run)
+
+    def held(of: Column, rank: Column) -> Column:
+        """The places ``of`` one shift that lie in a run; ascending, so a run's last is its first + run - 1."""
+        run = F.col("run")
+        first = F.filter(of, lambda j, k: F.coalesce(F.get(of, k + run - 1) == j + run - 1, F.lit(False)))
+        places = F.array_distinct(F.flatten(F.transform(first, lambda j: F.sequence(j, j + run - 1))))
+        by = shift + F.get(near, rank)
+        return F.transform(places, lambda i: F.struct(i.alias("i"), rank.alias("rank"), by.alias("by")))
+
+    place_here = F.transform(F.get("hits", F.lit(0)), lambda i: F.struct(i.alias("i"), F.lit(2 * REACH + 1).alias("rank"), shift.alias("by")))
+    out = out.withColumn("alone", F.when(raw, F.array().cast("array<struct<i:int,rank:int,by:int>>")).otherwise(place_here))
+    out = out.withColumn("every", F.array_sort(F.concat(F.flatten(F.transform("hits", held)), "alone")))
+    # of each position the nearest shift
+    out = out.withColumn("united", F.filter("every", lambda x, k: (k == 0) | (
+        F.get("every", F.greatest(k - 1, F.lit(0)))["i"] != x["i"])))
+
+    def parts(x: Column, s: Column, last: Column) -> Column:
+        """The document's value; at the item's ends only as much as the item has."""
+        k = F.size(s["parts"])
+        more = F.size(x["parts"]) > k
+        return (F.when(more & (s["i"] == 0), F.slice(x["parts"], F.size(x["parts"]) - k + 1, k))
+                .when(more & (s["i"] == last), F.slice(x["parts"], 1, k)).otherwise(x["parts"]))
+
+    def pair(s: Column, x: Column) -> Column:
+        """``(type, b, d)`` part by part, or whole if the numbers of parts differ."""
+        of = parts(x, s, n - 1)
+        whole = F.array(F.struct(s["type"].alias("type"), F.array_join(s["parts"], " ").alias("b"), F.array_join(of, " ").alias("d")))
+        each = F.zip_with(s["parts"], of, lambda v, w: F.struct(s["type"].alias("type"), v.alias("b"), w.alias("d")))
+        return F.when(F.size(s["parts"]) == F.size(of), each).otherwise(whole)
+
+    def met(places: str) -> Column:
+        return F.array_distinct(F.flatten(F.flatten(F.transform("b_slots", lambda s: F.flatten(F.transform(
+            F.filter(places, lambda u: u["i"] == s["i"]), lambda u: F.transform(
+                F.filter("d_slots", lambda x: (x["i"] == s["i"] + u["by"]) & (x["type"] == s["type"])),
+                lambda x: pair(s, x))))))))
+
+    out = out.withColumn("met_alone", met("alone")).withColumn("met_united", met("united"))
+
+    def verdict(places: str, slots_met: str) -> Column:
+        exact = ~F.exists(slots_met, lambda s: ~s["b"].eqNullSafe(s["d"]))
+        sources = F.array_distinct(F.transform(slots_met, lambda s: F.struct(s["type"], s["b"])))
+        consistent = F.size(slots_met) == F.size(sources)
+        return F.struct((exact | consistent).alias("good"), (F.size(places) / n).alias("coverage"), exact.alias("exact"),
+                        consistent.alias("consistent"))
+
+    best = F.greatest(verdict("alone", "met_alone"), verdict("united", "met_united"))
+    return out.select("doc_id", "item_id", "form", "shift", n.alias("size"), best.alias("v")).select(
+        "doc_id", "item_id", "form", "shift", "size", "v.coverage", "v.exact", "v.consistent")
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """``(doc_id, item_id, coverage, exact, n_alignments)``: the documents that hold an
     item, as it stands or re-parameterised: an alignment covers ``min_coverage`` of
-    the item and is exact or consistent. Clean documents have no row."""
-    good = alignments(docs, items, window).filter((F.col("coverage") >= min_coverage)
-                                                  & (F.col("exact") | F.col("consistent")))
-    return good.groupBy("doc_id", "item_id").agg(
-        F.max("coverage").alias("coverage"), F.max("exact").alias("exact"), F.count(F.lit(1)).alias("n_alignments"))
+    the item, and of a short one all but one token of a window, and is exact or
+    consistent; part of the raw tokens counts unless the templates align as much with
+    inconsistent slots. ``exact`` is that of the largest coverage, ``n_alignments`` the most
+    of a form. Clean documents have no row."""
+    least = F.greatest(F.least("size", F.lit(window)) - 1, F.lit(MIN_LITERALS))
+    far = alignments(docs, items, window).filter((F.col("coverage") >= min_coverage)
+                                                 & (F.round(F.col("coverage") * F.col("size")) >= least))
+    good = F.col("exact") | F.col("consistent")
+    form = far.groupBy("doc_id", "item_id", "form").agg(
+        F.max(F.when(good, F.struct("coverage", "exact"))).alias("best"), F.max(F.when(~good, F.col("coverage"))).alias("bad"),
+        F.count(F.when(good, 1)).alias("n"))
+    raw = F.col("form") == RAW
+    both = form.groupBy("doc_id", "item_id").agg(
+        F.max(F.when(~raw, F.col("best"))).alias("slots"), F.max(F.when(raw, F.col("best"))).alias("raw"),
+        F.max("bad").alias("bad"), F.max("n").alias("n_alignments"))
+    # part of an item's raw tokens does not outweigh inconsistent slots of as much of it
+    whole = (F.col("raw.coverage") >= 1) | F.col("bad").isNull() | (F.col("bad") < F.col("raw.coverage"))
+    best = F.greatest("slots", F.when(whole, F.col("raw")))
+    return both.withColumn("best", best).filter("best is not null").select(
+        "doc_id", "item_id", "best.coverage", "best.exact", "n_alignments")

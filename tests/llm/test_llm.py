@@ -315,6 +315,17 @@ def test_decontamination_slots(spark):
     assert [(r.doc_id, r.item_id, r.exact) for r in decontamination.leaks(d, item).collect()] == [(1, 7, False)]
 
 
+def leaked(spark, item, texts):
+    i = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r.doc_id, r.exact) for r in decontamination.leaks(d, i).collect())
+
+
+def test_decontamination_of_items_of_few_words(spark):
+    item = "What is 12 + 30 + 45 - 7 + 9?"
+    assert leaked(spark, item, ["so: " + item + " well", "What is 12 + 30 + 45 - 8 + 9?", "what is 12 and 30"]) == [(0, True)]
+
+
 # ---- licenses and URLs
 
 def test_license_families(spark, empty, odd):
