@@ -22,7 +22,7 @@ WINDOW = 8
 MIN_LITERALS = 4
 MIN_COVERAGE = 0.5
 #: Shifts to both sides of an alignment that count for it, and the run of tokens they must repeat.
-REACH = 0
+REACH = 8
 MIN_RUN = 4
 #: Rows (two longs each) up to which the distinct benchmark windows may be broadcast.
 BROADCAST_WINDOWS = 1_000_000
@@ -33,13 +33,14 @@ UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "lb", "oz", "ml", "l", "inch",
          "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent",
          "kmh", "mph", "celsius", "fahrenheit"]
 _CAP = r"\p{Lu}\p{Ll}\p{L}*+"
-#: Names: capitalised words inside a sentence.
-NAME_RE = rf"(?<=[\p{{L}}\p{{N}},;] ){_CAP}"
+#: Names: runs of capitalised words inside a sentence.
+NAME_RE = rf"(?<=[\p{{L}}\p{{N}},;] ){_CAP}(?:[,;]? {_CAP})*+"
 UNIT_RE = r"(?<=[0-9%])[\x20\x09]?(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _NUMBER = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*+%?"
 #: Placeholder tokens: single private-use characters (in a text they read as a slot without a value).
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
-NUMBER_RE = _NUMBER
+#: Runs of numbers with nothing but signs between them.
+NUMBER_RE = rf"{_NUMBER}(?:[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+{_NUMBER})*+"
 #: The words and numbers of a slot's value.
 PART_RE = rf"\p{{L}}+|{_NUMBER}"
 #: Token forms: the pattern of names, or none for raw tokens.

@@ -326,6 +326,17 @@ def test_decontamination_of_items_of_few_words(spark):
     assert leaked(spark, item, ["so: " + item + " well", "What is 12 + 30 + 45 - 8 + 9?", "what is 12 and 30"]) == [(0, True)]
 
 
+def test_decontamination_unites_nearby_shifts(spark):
+    item = ("the old farmer told his friend Alice that ten of the wild geese saw Alice near "
+            "a frozen lake and every one of them flew south before heavy snow came")
+    texts = [item.replace("Alice", "Mary Ann"), item.replace("ten of", "ten big fat of").replace("frozen", "small and frozen")
+             .replace("every", "so nearly every"), item.replace("Alice", "Bob", 1).replace("Alice", "Tom")]
+    assert leaked(spark, item, texts) == [(0, False), (1, True)]
+    cut = "one two three four five six seven eight nine ten eleven twelve of all these many small birds sang so very well on trees here today again"
+    w = cut.split()
+    assert leaked(spark, cut, [" ".join([*w[:9], "x", *w[9:18], "y", "z", *w[18:]]), " ".join(w[:9])]) == [(0, True)]
+
+
 # ---- licenses and URLs
 
 def test_license_families(spark, empty, odd):
