@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units are replaced by typed placeholders, so that a question with
-other figures has the same template. Every text has two token forms: the template and its
+other figures has the same template. Every text has three token forms: two templates,
+of capitalised words inside a sentence and of all capitalised words as names, and its
 raw tokens. Windows of tokens are hashed and joined between documents and benchmark
 items within each form; every alignment found is then compared token by token over
 the whole item, together with the nearby shifts, and its slots must map consistently:
@@ -33,8 +34,9 @@ UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "lb", "oz", "ml", "l", "inch",
          "seconds", "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent",
          "kmh", "mph", "celsius", "fahrenheit"]
 _CAP = r"\p{Lu}\p{Ll}\p{L}*+"
-#: Names: runs of capitalised words inside a sentence.
+#: Names: runs of capitalised words inside a sentence, or anywhere.
 NAME_RE = rf"(?<=[\p{{L}}\p{{N}},;] ){_CAP}(?:[,;]? {_CAP})*+"
+CAPITAL_RE = rf"(?<![\p{{L}}\p{{N}}]){_CAP}(?:[,;]? {_CAP})*+"
 UNIT_RE = r"(?<=[0-9%])[\x20\x09]?(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
 _NUMBER = r"[$€£]?[0-9]+(?:[.,:/][0-9]+)*+%?"
 #: Placeholder tokens: single private-use characters (in a text they read as a slot without a value).
@@ -45,7 +47,7 @@ NUMBER_RE = rf"{_NUMBER}(?:[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+{_NUMBER})*+"
 PART_RE = rf"\p{{L}}+|{_NUMBER}"
 #: Token forms: the pattern of names, or none for raw tokens.
 RAW = 2
-FORMS = {0: NAME_RE, RAW: None}
+FORMS = {0: NAME_RE, 1: CAPITAL_RE, RAW: None}
 
 
 def canonical(text: Column, name_re: str = NAME_RE) -> tuple[Column, Column, Column, Column]:
@@ -104,13 +106,26 @@ def _windows(tokens: DataFrame, keep: list[str], size: int) -> DataFrame:
     return at.select(*keep, "at", F.xxhash64(*[F.get("t", F.col("at") + i) for i in range(size)]).alias("h"))
 
 
+def _gapped(tokens: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """``(*keep, at, h)``: every ``size`` tokens in a row, and every ``size + 1`` without
+    one of the inner ones. Two such windows are equal where one token was put in,
+    left out or replaced."""
+    starts = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size))
+    at = tokens.select(*keep, "t", F.explode(starts).alias("at"))
+    full = F.xxhash64(*[F.get("t", F.col("at") + i) for i in range(size)])
+    inner = [F.when(F.col("at") + size < F.size("t"),
+                    F.xxhash64(*[F.get("t", F.col("at") + i) for i in range(size + 1) if i != gap]))
+             for gap in range(1, size)]
+    return at.select(*keep, "at", F.explode(F.array(full, *inner)).alias("h")).filter("h is not null")
+
+
 def _literals(start: Column, size: int) -> Column:
     return F.size(F.filter(F.slice("t", start, size), lambda x: ~x.isin(NAME, NUMBER, UNIT)))
 
 
 def _hashed(tokens: DataFrame, keep: list[str], w: int) -> DataFrame:
-    """Windows of ``w`` tokens."""
-    return _windows(tokens, keep, w).withColumn("w", F.lit(w))
+    """Windows of ``w`` tokens; gapped windows of ``-w`` tokens where w is negative."""
+    return (_windows(tokens, keep, w) if w > 0 else _gapped(tokens, keep, -w)).withColumn("w", F.lit(w))
 
 
 def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -123,7 +138,8 @@ def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     tokens (of two, in items of fewer than two windows). ``exact``: the covered tokens have equal values; ``consistent``: no value
     of the item's slots stands for two values of the document. Raw tokens count in
     runs of a window only. Items of fewer than ``window`` tokens are matched as one
-    window of their length. Items of fewer than four tokens,
+    window of their length, and items of at most ``window`` tokens, in the templates,
+    also with one token put in, left out or replaced. Items of fewer than four tokens,
     and template windows of fewer than four words that are no placeholders, are no
     evidence and match nothing. Null texts have no tokens; rows without id are left
     out; repeated rows count once.
@@ -133,17 +149,18 @@ def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     for form in list(FORMS)[1:]:
         bench = bench.unionByName(_with_slots(texts, form))
     n = F.size("t")
+    small = (F.col("form") != RAW) & n.between(MIN_LITERALS + 1, window)
     bench = bench.withColumn("t", F.filter("t", lambda x: x != "")).filter(n >= MIN_LITERALS)
     bench = materialize(bench.withColumn("w", F.array_compact(F.array(
-        F.least(n, F.lit(window))))), "benchmark")
+        F.least(n, F.lit(window)), F.when(small, 1 - n)))), "benchmark")
     sizes = sorted((r["form"], r["w"]) for r in bench.select("form", F.explode("w").alias("w")).distinct().collect())
     windows = bench.select("form", F.lit(0).alias("w"), F.lit(0).cast("long").alias("h"), "item_id",
-                           F.lit(0).alias("item_at")).limit(0)                  # at most `window` sizes a form
+                           F.lit(0).alias("item_at")).limit(0)                  # at most 2 * `window` sizes a form
     for form, w in sizes:
         of = bench.filter((F.col("form") == form) & F.array_contains("w", w)).select("form", "item_id", "t")
         full = _hashed(of, ["form", "item_id", "t"], w)
-        if form != RAW:
-            full = full.filter(_literals(F.col("at") + 1, w) >= MIN_LITERALS)
+        if form != RAW:                                     # a gapped window reaches over one token more
+            full = full.filter(_literals(F.col("at") + 1, w if w > 0 else 1 - w) >= MIN_LITERALS + (w < 0))
         windows = windows.unionByName(full.select("form", "w", "h", "item_id", F.col("at").alias("item_at")).distinct())
     windows = materialize(windows, "benchmark-windows")
     known = windows.select("form", "w", "h").distinct()

@@ -337,6 +337,15 @@ def test_decontamination_unites_nearby_shifts(spark):
     assert leaked(spark, cut, [" ".join([*w[:9], "x", *w[9:18], "y", "z", *w[18:]]), " ".join(w[:9])]) == [(0, True)]
 
 
+def test_decontamination_of_names_that_open_a_sentence(spark):
+    item = "Alice had 30 apples. Alice gave 8 apples to Bob."
+    assert leaked(spark, item, [item, "Tom had 12 apples. Tom gave 5 apples to Kim.", "Question Tom had 12 apples. Tom gave 5 apples to Kim.",
+                                "Tom had a dog. Kim gave 5 apples to Tom."]) == [(0, True), (1, False), (2, False)]
+    short = "Where did the grey horse sleep yesterday?"
+    assert leaked(spark, short, ["Question " + short, "Where did the grey horse quietly sleep yesterday?",
+                                 "Where did the black horse sleep yesterday?", "Where did the grey"]) == [(0, True), (1, True), (2, True)]
+
+
 # ---- licenses and URLs
 
 def test_license_families(spark, empty, odd):
