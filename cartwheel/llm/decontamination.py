@@ -258,8 +258,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_coverage:
     inconsistent slots. ``exact`` is that of the largest coverage, ``n_alignments`` the most
     of a form. Clean documents have no row."""
     least = F.greatest(F.least("size", F.lit(window)) - 1, F.lit(MIN_LITERALS))
-    far = alignments(docs, items, window).filter((F.col("coverage") >= min_coverage)
-                                                 & (F.round(F.col("coverage") * F.col("size")) >= least))
+    # stored: a filter pushed below would repeat the lists of an alignment for each of their elements
+    far = materialize(alignments(docs, items, window), "aligned").filter((F.col("coverage") >= min_coverage)
+                                                                          & (F.round(F.col("coverage") * F.col("size")) >= least))
     good = F.col("exact") | F.col("consistent")
     form = far.groupBy("doc_id", "item_id", "form").agg(
         F.max(F.when(good, F.struct("coverage", "exact"))).alias("best"), F.max(F.when(~good, F.col("coverage"))).alias("bad"),
