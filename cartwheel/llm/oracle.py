@@ -72,4 +72,73 @@ taken AS (
 SELECT doc_id, size, source_size, target, taken FROM taken
 """
 
-ORACLE = {"op1_url_filters": _URL, "op5_mix_sources": _MIX}
+_QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+split AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+placed AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+windows AS (
+  SELECT rid, i, word, lead(word) OVER at AS second, lead(word, 2) OVER at AS third
+  FROM placed WINDOW at AS (PARTITION BY rid ORDER BY i)),
+counted AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, word, second, third) AS k FROM windows WHERE third IS NOT NULL),
+stretches AS (
+  SELECT rid, least(3, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 3)) AS n FROM counted WHERE k > 1),
+repeated AS (SELECT rid, sum(n)::BIGINT AS n_repeat_words FROM stretches GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+line_counts AS (
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+counts AS (
+  SELECT d.doc_id, d.lang, d.source, len(split.w)::BIGINT AS n_words,
+         length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_dup_lines, 0) AS n_dup_lines,
+         coalesce(r.n_repeat_words, 0) AS n_repeat_words
+  FROM d JOIN split USING (rid) LEFT JOIN line_counts l USING (rid) LEFT JOIN repeated r USING (rid)),
+measured AS (
+  SELECT row_number() OVER () AS rid, *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length,
+         CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbols,
+         CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines,
+         CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_words
+  FROM counts),
+rates AS (
+  UNPIVOT (SELECT rid, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, base_failed,
+                  word_length, symbols, dup_lines, repeat_words FROM measured)
+  ON word_length, symbols, dup_lines, repeat_words INTO NAME rule VALUE v),
+rules(rule, least_spread, two_sided) AS (
+  VALUES ('word_length', 500, true), ('symbols', 250, false), ('dup_lines', 150, false), ('repeat_words', 100, false)),
+sketch AS (
+  SELECT lang, source, rule, v - v % (1::BIGINT << greatest(length(bin(v)) - 8, 0)) AS bucket, count(*) AS n
+  FROM rates WHERE NOT base_failed GROUP BY ALL),
+levels AS (
+  SELECT 'own' AS level, lang, source, rule, bucket, n FROM sketch
+  UNION ALL SELECT 'lang', lang, '', rule, bucket, sum(n) FROM sketch GROUP BY ALL
+  UNION ALL SELECT 'all', '', '', rule, bucket, sum(n) FROM sketch GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS upto,
+         sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM levels),
+quartiles AS (
+  SELECT level, lang, source, rule, max(total) AS total, min(bucket) FILTER (4 * upto >= total) AS q1,
+         min(bucket) FILTER (4 * upto >= 3 * total) AS q3
+  FROM ranked GROUP BY ALL),
+fences AS (
+  SELECT level, lang, source, rule, total,
+         CASE WHEN two_sided THEN q1 - 3 * greatest(q3 - q1, least_spread) ELSE 0 END AS low,
+         q3 + 3 * greatest(q3 - q1, least_spread) AS high
+  FROM quartiles JOIN rules USING (rule)),
+limits AS (
+  SELECT o.lang, o.source, o.rule,
+         CASE WHEN o.total >= 200 THEN o.low WHEN l.total >= 200 THEN l.low ELSE e.low END AS low,
+         CASE WHEN o.total >= 200 THEN o.high WHEN l.total >= 200 THEN l.high ELSE e.high END AS high
+  FROM fences o JOIN fences l ON l.level = 'lang' AND l.lang = o.lang AND l.rule = o.rule
+  JOIN fences e ON e.level = 'all' AND e.rule = o.rule WHERE o.level = 'own'),
+verdict AS (
+  SELECT r.rid, bool_and(coalesce(r.v BETWEEN f.low AND f.high, false)) AS inside
+  FROM rates r LEFT JOIN limits f USING (lang, source, rule) GROUP BY r.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND inside AS kept
+FROM measured JOIN verdict USING (rid)
+"""
+
+ORACLE = {"op1_url_filters": _URL, "op5_mix_sources": _MIX, "op11_quality_rules": _QUALITY}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontamination, langid, licenses, lmscore, mixing, sharding, simhash, toxicity, urlfilter
+from . import (covertree, decontamination, langid, licenses, lmscore, mixing, qualityrules, runs, sharding, simhash, toxicity,
+               urlfilter, whitening)
 from .common import crc_mod, table
 
 BLOCK_LISTS = ["ads", "malware"]
@@ -104,6 +105,71 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether it lies inside the fences of its group."""
+    return qualityrules.judge(table(spark, sf_dir, "documents"))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """Stand-in input: with h the crc32 of the id and n words, every tenth document (h divisible
+    by 10) repeats from word a = floor(h / 10) mod n on the p words found there. Null ids
+    stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def tail(w):
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        return qualityrules.let(F.struct(a.alias("a"), p.alias("p")), lambda x: F.concat_ws(" ", F.transform(
+            w, lambda c, i: F.when(i < x["a"], c).otherwise(F.get(w, (x["a"] + F.pmod(i - x["a"], x["p"])).cast("int"))))))
+
+    changed = qualityrules.let(qualityrules.words(F.col("text")), lambda w: F.when(F.size(w) > 0, tail(w)))
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, F.coalesce(changed, F.col("text")))
+                       .otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, the longest one, and digests of all and of what is left."""
+    found = runs.find_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.withColumn("_m", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_m.before")).alias("start"), F.col("_m.length").alias("length"),
+        (-F.col("_m.shorter")).alias("period"), F.floor(1000 * F.col("_m.length") / -F.col("_m.shorter")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+COMPONENTS = 8
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first whitened coordinates of every embedding in whole-number units, with the
+    squared deviation from the mean and the quality of the whitening.
+
+    Vectors that are null, empty, of an uncommon length, or that hold a null, non-finite or
+    huge (2 ** 42) entry take no part. A deviation beyond a long is null."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    v = whitening.same_size(v.filter(whitening.usable("embedding", -2.0 ** 42, 2.0 ** 42)), "embedding")
+    x = v.select("vec_id", F.transform("embedding", lambda c: F.floor(c.cast("double") * 1024) + F.lit(100_000)).alias("x"))
+    model = whitening.fit(x, "x")
+    error = whitening.identity_error(x, "x", model, COMPONENTS)
+    n, sums = F.lit(model.n).cast("long"), F.array(*[F.lit(int(s)).cast("long") for s in model.sums])
+
+    def square(c):
+        return F.try_multiply(c, c)
+
+    apart = F.zip_with("x", sums, lambda a, s: square(F.try_subtract(F.try_multiply(n, a), s)))
+    deviation = F.aggregate(apart, F.lit(0).cast("long"), F.try_add)
+    explained = F.array(*[F.lit(float(e / model.variance)) for e in model.eigenvalues[:COMPONENTS]])
+    rows = x.select("vec_id", deviation.alias("deviation"), "x")
+    out = whitening.whiten(rows, ["vec_id", "deviation"], "x", model, COMPONENTS)
+    return out.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), n.alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_exact_topk, op3_simhash, op4_toxicity, op5_mix_sources, op6_language_id, op7_sharding,
-    op8_license_scan, op9_decontamination, op10_lm_score)}
+    op8_license_scan, op9_decontamination, op10_lm_score, op11_quality_rules, op12_periodic_runs, op13_whitening)}
