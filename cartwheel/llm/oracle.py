@@ -77,8 +77,8 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(te
 split AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 placed AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
 windows AS (
-  SELECT rid, i, word, lead(word) OVER at AS second, lead(word, 2) OVER at AS third
-  FROM placed WINDOW at AS (PARTITION BY rid ORDER BY i)),
+  SELECT rid, i, word, lead(word) OVER o AS second, lead(word, 2) OVER o AS third
+  FROM placed WINDOW o AS (PARTITION BY rid ORDER BY i)),
 counted AS (
   SELECT rid, i, count(*) OVER (PARTITION BY rid, word, second, third) AS k FROM windows WHERE third IS NOT NULL),
 stretches AS (

@@ -106,8 +106,8 @@ def plain_runs(w, min_length=6, min_periods=4):
             while j + q < n and w[j] == w[j + q]:
                 j += 1
             length = j - i + q
-            smaller = any(all(w[k] == w[k + d] for k in range(i, i + length - d)) for d in range(1, q))
-            if length >= max(min_length, min_periods * q) and not smaller:
+            if length >= max(min_length, min_periods * q) and not any(
+                    all(w[k] == w[k + d] for k in range(i, i + length - d)) for d in range(1, q)):
                 out.append((i, length, q))
             i = max(j, i) + 1
     return sorted(out, key=lambda r: (r[0], r[2]))
