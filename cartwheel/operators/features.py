@@ -295,7 +295,21 @@ def feature_vectors(mart: Mart, names: list[str] | None = None, cohort: DataFram
     all customers, features concatenated in the order of ``names``; the vectors of
     the customers of ``cohort`` (all when None)."""
     names = list(names or DEFAULT_FEATURES)
+    return _vectors(feature_arrays(mart, names), names, cohort)
+
+
+def vectors_with_slots(mart: Mart, names: list[str]) -> tuple[DataFrame, dict[str, list[int]]]:
+    """``feature_vectors`` of all customers, and the places of each feature in them."""
     arrays = feature_arrays(mart, names)
+    widths = arrays.select(*[F.size(f"`{n}`") for n in names]).first()
+    slots, at = {}, 0
+    for name, width in zip(names, widths or [0] * len(names)):
+        slots[name] = list(range(at, at + width))
+        at += width
+    return _vectors(arrays, list(names), None), slots
+
+
+def _vectors(arrays: DataFrame, names: list[str], cohort: DataFrame | None) -> DataFrame:
     order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     stats = slot_stats(feature_long(arrays, names)).select(order[F.col("feature")].alias("o"), "slot", "mean", "std")
     # one row, an array as wide as a vector; the subquery stays outside the lambda

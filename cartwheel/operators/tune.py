@@ -1,9 +1,9 @@
 """Parameter sweeps scored with the relevance score.
 
-The grid is a plain list of parameter sets. Each set is one model fit (a Spark
-ML job); its top suggestions per customer are written once to the shared
-checkpoint folder, partitioned by run, which also cuts the lineage of every
-run. All runs are then scored by one relevance query over the written table.
+The grid is a plain list of parameter sets. All sets of a technique are trained in
+one loop of Spark jobs, whatever their number; sets that differ in their iteration
+count alone share a model. The top suggestions of all runs are written once to the
+shared checkpoint folder and scored by one relevance query over that table.
 Only the top ``SCORE_TOP_K`` unowned styles of each customer can reach the
 score, so writing just those keeps the result exact.
 """
@@ -15,9 +15,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import materialize, scratch_path
-from ..sources.mart import CUSTOMER, STYLE, Mart
-from . import evaluate, factors, features, segments
+from ..session import materialize
+from ..sources.mart import CUSTOMER, Mart
+from . import als, evaluate, factors, features, kmeans, postfilter, segments
 
 # The reference's sweep grids.
 CF_GRID = dict(rank=[200, 300, 400], max_iter=[15, 20, 25], reg=[0.1, 0.5, 1.0], alpha=[0.01, 0.05, 0.1])
@@ -39,11 +39,12 @@ def feature_subsets(names: list[str], r: int) -> list[list[str]]:
     return [list(c) for c in itertools.combinations(names, r)]
 
 
-#: Short parameter lists of the registered queries; the whole grids are above.
-SHORT_CF_SETS = grid(rank=[10, 20], max_iter=[5], reg=[0.01, 0.1], alpha=[0.01], implicit=[True])
-SHORT_KMEANS_SETS = grid(k=[10, 20], max_iter=[2, 5])
-SHORT_FEATURE_SETS = [dict(k=20, max_iter=5, names=s) for s in
-                      feature_subsets(["StyleYear", "AverageExpenditure", "CPT_HDS_OTH", "Mix"], 2)]
+#: The registered sweeps of K-means: all parameter sets (V9), all pairs of features.
+KMEANS_SETS = grid(max_iter=KMEANS_ITERATIONS, k=KMEANS_CLUSTERS)
+FEATURE_SETS = [dict(k=100, max_iter=7, names=s) for s in feature_subsets(DIMENSION_CANDIDATES, 2)]
+CF_SETS = [dict(p, implicit=True) for p in grid(**CF_GRID)]
+#: Two factors, of which SQL can state every step.
+SMALL_CF_SETS = [dict(rank=2, max_iter=3, reg=0.1, implicit=False), dict(rank=2, max_iter=3, reg=0.1, alpha=0.01, implicit=True)]
 DEFAULT_CF_SETS = [dict(factors.EXPLICIT_DEFAULTS, implicit=False), dict(factors.IMPLICIT_DEFAULTS, implicit=True)]
 DEFAULT_KMEANS_SETS = [dict(k=100, max_iter=7)]
 
@@ -53,46 +54,57 @@ def params_text(params: dict) -> str:
     return json.dumps(params, sort_keys=True)
 
 
-def _write_runs(spark: SparkSession, name: str, runs: list[tuple[dict, DataFrame]]) -> DataFrame:
-    base = scratch_path(spark, name)
-    for i, (params, df) in enumerate(runs):
-        (df.select(CUSTOMER, STYLE, F.col("score").cast("double"))
-         .withColumn("params", F.lit(params_text(params)))
-         .write.mode("overwrite").parquet(f"{base}/run_id={i}"))
-    return spark.read.parquet(base)
-
-
-def kmeans_runs(spark: SparkSession, mart: Mart, param_sets: list[dict], seed: int | None = None,
-                models: int = 1) -> DataFrame:
-    """Per parameter set (k, max_iter, optional feature names) the
-    top unowned segment suggestions of every customer. With ``models`` above 1 each
-    set is fitted that often with consecutive seeds (parameter ``model`` of the run);
-    ``best_runs`` keeps the best of each set."""
-    out, vectors = [], {}
-    for p in param_sets:
-        names = tuple(p.get("names", features.DEFAULT_FEATURES))
-        if names not in vectors:
-            vectors[names] = materialize(features.feature_vectors(mart, list(names)))
-        vec = vectors[names]
-        for i in range(models):
-            model = segments.train_kmeans(vec, k=p["k"], max_iter=p["max_iter"], seed=None if seed is None else seed + i)
-            assigned = segments.segment_model(vec, segments.model_centres(spark, model))[2]
-            top = segments.segment_top_k(mart.invoices, assigned, evaluate.SCORE_TOP_K).drop("rank")
-            out.append((dict(p, model=i) if models > 1 else p, top))
-    return _write_runs(spark, "kmeans-runs", out)
-
-
-def als_runs(mart: Mart, param_sets: list[dict], seed: int | None = None) -> DataFrame:
-    """V5/V9: per parameter set (rank, max_iter, reg, alpha, implicit) the top
-    unowned ALS suggestions of every customer."""
-    spark = mart.invoices.sparkSession
-    r = materialize(factors.ratings(mart.invoices))
-    out = []
-    for p in param_sets:
-        model = factors.fit_als(r, p["rank"], p["max_iter"], p["reg"], seed=seed,
-                                implicit=p.get("implicit", False), alpha=p.get("alpha", 1.0))
-        out.append((p, factors.recommend(model, mart.invoices, evaluate.SCORE_TOP_K)))
-    return _write_runs(spark, "als-runs", out)
+def kmeans_runs(spark: SparkSession, mart: Mart, param_sets: list[dict], seed: int = 0, models: int = 1) -> DataFrame:
+    """Per parameter set (k, max_iter, optional feature names) the top unowned
+    segment suggestions of every customer: (run_id, params, customer_id, rank, style_id, score).
+
+    All sets are trained in one loop (``kmeans.fit``): sets that differ in ``max_iter`` alone
+    are one model, whose centres are kept at each count. Customers of all runs are assigned in
+    one pass and answered in one plan. With ``models`` above 1 each set is fitted that often
+    with consecutive seeds (parameter ``model``); ``best_runs`` keeps the best of each set."""
+    sets = [dict(p, model=i) if models > 1 else dict(p) for p in param_sets for i in range(models)]
+    chosen = [tuple(p.get("names", features.DEFAULT_FEATURES)) for p in sets]
+    vectors, slots = features.vectors_with_slots(mart, sorted({n for names in chosen for n in names}))
+    vectors = materialize(vectors.select(CUSTOMER, "values"), "vectors")
+    wanted: dict[tuple, list[int]] = {}
+    for p, names in zip(sets, chosen):
+        wanted.setdefault((p["k"], names, p.get("model", 0)), []).append(p["max_iter"])
+    specs = {key: kmeans.Spec(key[0], tuple(s for n in key[1] for s in slots[n]), tuple(sorted(set(iterations))), seed + key[2])
+             for key, iterations in wanted.items()}
+    fitted = dict(zip(specs, kmeans.fit(vectors, list(specs.values()))))
+    keys = [(p["k"], names, p.get("model", 0)) for p, names in zip(sets, chosen)]
+    runs = [(specs[key].slots, fitted[key][p["max_iter"]]) for p, key in zip(sets, keys)]
+    assigned = materialize(kmeans.assign(vectors, runs, segments.MIN_POPULATION), "assigned-runs")
+    top = segments.segment_top_k(mart.invoices, assigned, evaluate.SCORE_TOP_K, runs=("run_id",))
+    return materialize(top.join(run_table(spark, sets), "run_id"), "kmeans-runs")
+
+
+def run_table(spark: SparkSession, sets: list[dict]) -> DataFrame:
+    """(run_id, params): a row per parameter set."""
+    return spark.createDataFrame([(i, params_text(p)) for i, p in enumerate(sets)], "run_id int, params string")
+
+
+def als_runs(mart: Mart, param_sets: list[dict], seed: int = 0) -> DataFrame:
+    """V5/V8: per parameter set (rank, max_iter, reg, implicit, alpha) the top unowned ALS
+    suggestions of every customer: (run_id, params, customer_id, rank, style_id, score).
+
+    All sets are trained in one loop (``als.fit``); sets that differ in ``max_iter`` alone are
+    one model, whose factors are kept at each count."""
+    keys = [(p["rank"], p["reg"], p.get("implicit", False), p.get("alpha", 1.0)) for p in param_sets]
+    wanted: dict[tuple, set[int]] = {}
+    for p, key in zip(param_sets, keys):
+        wanted.setdefault(key, set()).add(p["max_iter"])
+    specs = [als.Spec(rank, reg, tuple(sorted(iterations)), implicit, alpha)
+             for (rank, reg, implicit, alpha), iterations in wanted.items()]
+    place = {key: m for m, key in enumerate(wanted)}
+    kept = als.fit(factors.ratings(mart.invoices), specs, seed)
+    found = None
+    for step, model in kept.items():
+        runs = [(i, place[key]) for i, (p, key) in enumerate(zip(param_sets, keys)) if p["max_iter"] == step]
+        top = als.recommend(model, mart.invoices, evaluate.SCORE_TOP_K, runs)
+        found = top if found is None else found.unionByName(top)
+    top = postfilter.top_k(found, evaluate.SCORE_TOP_K, partition=("run_id", CUSTOMER))
+    return materialize(top.join(run_table(mart.invoices.sparkSession, param_sets), "run_id"), "als-runs")
 
 
 def score_runs(runs: DataFrame, mart: Mart) -> DataFrame:

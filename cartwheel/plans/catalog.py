@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import functions as fn
-from ..operators import basket, evaluate, factors, features, postfilter, report, segments, similarity, tune
+from ..operators import als, basket, evaluate, factors, features, kmeans, postfilter, report, segments, similarity, tune
 from ..session import checkpoint_dir, materialize, scratch_path
 from ..sources import files, sinks, warehouse
 from ..sources.mart import CUSTOMER, ITEM, REF, STYLE, load_mart, load_raw_mart
@@ -340,86 +340,110 @@ def segment_recs(spark, sf_dir):
 
 
 # --- trained models (R3-R6, S12, S13) ----------------------------------------------
-# The models' numbers depend on their random starts, so these queries return what
-# must hold whatever the model: how many suggestions each customer gets, that none
-# is owned, that a loaded model answers like the saved one.
+# Starts are hashes of seed and ids, so SQL can state the training: of K-means at every
+# size, of ALS for two factors (a 2 x 2 solve); larger ranks are tested against NumPy.
 
 KMEANS_K, KMEANS_ITER, SEED = 100, 7, 42
 
 
-def count_where(cond):
-    return F.count(F.when(cond, F.lit(1)))
+@query("kmeans_centres")
+def kmeans_centres(spark, sf_dir):
+    """The centres of ten segments at the start and after each of three steps."""
+    m = load_mart(spark, sf_dir)
+    vec, slots = features.vectors_with_slots(m, SEGMENT_FEATURES)
+    every = tuple(s for n in SEGMENT_FEATURES for s in slots[n])
+    kept = kmeans.fit(materialize(vec.select(CUSTOMER, "values"), "vectors"), [kmeans.Spec(10, every, (0, 1, 2, 3), SEED)])[0]
+    rows = [(step, i, j, float(x)) for step, c in kept.items() for i, v in enumerate(c) for j, x in enumerate(v)]
+    return spark.createDataFrame(rows, "step int, segment int, slot int, value double").withColumn("value", F.round("value", 6))
 
 
 @query("kmeans_recs")
 def kmeans_recs(spark, sf_dir):
-    """Trained segments and their suggestions. Customers; those whose nearest
-    centre is farther than the centre the model itself predicts; suggested styles
-    that are owned; ranks above ``REPORT_K``."""
+    """The best styles of every customer from trained segments."""
     m = load_mart(spark, sf_dir)
-    vec = materialize(features.feature_vectors(m, SEGMENT_FEATURES), "vectors")
-    model = segments.train_kmeans(vec, k=KMEANS_K, max_iter=KMEANS_ITER, seed=SEED)
-    centres = segments.model_centres(spark, model)
-    nearest, _, assigned = segments.segment_model(vec, centres)
-    d = fn.sq_distance("values", "centre")
-    own = (model.transform(vec).join(centres, F.col("prediction") == F.col("segment"))
-           .select(CUSTOMER, d.alias("d")).join(nearest, CUSTOMER, "full"))
-    far = F.coalesce(F.col("distance") > F.col("d") * (1 + 1e-9) + 1e-9, F.lit(True))
-    recs = materialize(segments.segment_top_k(m.invoices, assigned, REPORT_K), "kmeans-recs")
-    bought = recs.join(m.invoices.select(CUSTOMER, STYLE), [CUSTOMER, STYLE], "left_semi")
-    return (own.agg(F.count(F.lit(1)).alias("customers"), count_where(far).alias("farther"))
-            .crossJoin(bought.agg(F.count(F.lit(1)).alias("owned")))                          # one row each
-            .crossJoin(recs.agg(count_where(F.col("rank") > REPORT_K).alias("above_k"))))
+    vec, slots = features.vectors_with_slots(m, SEGMENT_FEATURES)
+    vec, every = materialize(vec.select(CUSTOMER, "values"), "vectors"), tuple(s for n in SEGMENT_FEATURES for s in slots[n])
+    centres = kmeans.fit(vec, [kmeans.Spec(KMEANS_K, every, (KMEANS_ITER,), SEED)])[0][KMEANS_ITER]
+    assigned = kmeans.assign(vec, [(every, centres)], segments.MIN_POPULATION)
+    recs = segments.segment_top_k(m.invoices, assigned, REPORT_K)
+    return recs.select(CUSTOMER, F.col("rank").cast("int"), STYLE, "score")
 
 
 def als_recs(spark, sf_dir, implicit):
-    """Per customer: suggestions, those that are owned, those with a score."""
     m = load_mart(spark, sf_dir)
-    params = factors.IMPLICIT_DEFAULTS if implicit else factors.EXPLICIT_DEFAULTS
-    r = materialize(factors.ratings(m.invoices), "ratings")
-    model = factors.fit_als(r, params["rank"], params["max_iter"], params["reg"],
-                            seed=SEED, implicit=implicit, alpha=params.get("alpha", 1.0))
-    recs = factors.recommend(model, r, TOP_K)
-    bought = r.select(CUSTOMER, STYLE, F.lit(True).alias("_owned"))
-    return recs.join(bought, [CUSTOMER, STYLE], "left").groupBy(CUSTOMER).agg(
-        F.count(F.lit(1)).alias("n_suggested"), F.count("_owned").alias("n_owned"),
-        count_where(F.col("score").isNotNull() & ~F.isnan("score")).alias("n_scored"))
+    p = factors.IMPLICIT_DEFAULTS if implicit else factors.EXPLICIT_DEFAULTS
+    spec = als.Spec(p["rank"], p["reg"], (p["max_iter"],), implicit, p.get("alpha", 1.0))
+    model = als.fit(factors.ratings(m.invoices), [spec], SEED)[p["max_iter"]]
+    return ranked(als.recommend(model, m.invoices, TOP_K)).drop("run_id")
+
+
+def ranked(recs):
+    top = postfilter.top_k(recs, TOP_K, partition=("run_id", CUSTOMER))
+    return top.select("run_id", CUSTOMER, F.col("rank").cast("int"), STYLE, "score")
 
 
 @query("als_explicit_recs")
 def als_explicit_recs(spark, sf_dir):
+    """The best unowned styles by explicit factors (rank 50)."""
     return als_recs(spark, sf_dir, implicit=False)
 
 
 @query("als_implicit_recs")
 def als_implicit_recs(spark, sf_dir):
+    """The best unowned styles by implicit factors (rank 200)."""
     return als_recs(spark, sf_dir, implicit=True)
 
 
+def small_als(spark, sf_dir):
+    """Explicit and implicit factors of rank 2, trained in one loop."""
+    m = load_mart(spark, sf_dir)
+    specs = [als.Spec(p["rank"], p["reg"], (p["max_iter"],), p["implicit"], p.get("alpha", 1.0)) for p in tune.SMALL_CF_SETS]
+    return m, als.fit(factors.ratings(m.invoices), specs, SEED)[3]
+
+
+@query("als_factors")
+def als_factors(spark, sf_dir):
+    """Two factors of every customer and style after three iterations; explicit
+    style factors have the scale of money."""
+    _, model = small_als(spark, sf_dir)
+    out = None
+    for run in (0, 1):
+        users, items = als.factor_tables(model, run)
+        for side, t, key, f in (("customer", users, CUSTOMER, "uf"), ("style", items, STYLE, "vf")):
+            digits = 2 if (run, side) == (0, "style") else 6
+            rows = t.select(F.lit(run).alias("run_id"), F.lit(side).alias("side"), F.col(key).cast("string").alias("key"),
+                            F.round(F.get(f, 0), digits).alias("f1"), F.round(F.get(f, 1), digits).alias("f2"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("als_recs_small")
+def als_recs_small(spark, sf_dir):
+    """The best unowned styles by two explicit and by two implicit factors."""
+    m, model = small_als(spark, sf_dir)
+    explicit = als.recommend(model, m.invoices, TOP_K, [(0, 0)], digits=2)
+    return ranked(explicit.unionByName(als.recommend(model, m.invoices, TOP_K, [(1, 1)], digits=6)))
+
+
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
-    """Train both models, save them to the shared folder, load them back and use
-    both: rated pairs, those with another ALS prediction, customers with a feature
-    vector, those with another segment."""
+    """Models trained, saved to the shared folder, loaded and used: every customer's
+    nearest of ten segments, and the predicted rating of every rated pair."""
     m = load_mart(spark, sf_dir)
-    vec = materialize(features.feature_vectors(m, SEGMENT_FEATURES), "vectors")
-    km = segments.train_kmeans(vec, k=10, max_iter=5, seed=SEED)
-    kpath = scratch_path(spark, "kmeans")
-    segments.save_model(km, SEGMENT_FEATURES, kpath)
-    km2, names = segments.load_model(spark, kpath)
-    again = features.feature_vectors(m, names)
-    seg = (km.transform(vec).select(CUSTOMER, F.col("prediction").alias("a"))
-           .join(km2.transform(again).select(CUSTOMER, F.col("prediction").alias("b")), CUSTOMER, "full"))
-    r = materialize(factors.ratings(m.invoices), "ratings")
-    als = factors.fit_als(r, rank=10, max_iter=5, reg=0.01, seed=SEED)
-    apath = scratch_path(spark, "als")
-    factors.save_model(als, apath)
-    pairs = r.select(CUSTOMER, STYLE)
-    pred = (factors.predict(als, pairs).withColumnRenamed("score", "a")
-            .join(factors.predict(factors.load_model(apath), pairs).withColumnRenamed("score", "b"), [CUSTOMER, STYLE], "full"))
-    differs = count_where(~F.col("a").eqNullSafe(F.col("b")))
-    return (pred.agg(F.count(F.lit(1)).alias("pairs"), differs.alias("other_predictions"))
-            .crossJoin(seg.agg(F.count(F.lit(1)).alias("customers"), differs.alias("other_segments"))))   # one row each
+    vec, slots = features.vectors_with_slots(m, SEGMENT_FEATURES)
+    every = tuple(s for n in SEGMENT_FEATURES for s in slots[n])
+    centres = kmeans.fit(materialize(vec.select(CUSTOMER, "values"), "vectors"), [kmeans.Spec(10, every, (5,), SEED)])[0][5]
+    path = scratch_path(spark, "models")
+    kmeans.save(kmeans.centre_table(spark, centres), SEGMENT_FEATURES, f"{path}/kmeans")
+    als.save(small_als(spark, sf_dir)[1], f"{path}/als")
+    table, names = kmeans.load(spark, f"{path}/kmeans")
+    again = materialize(features.feature_vectors(m, names).select(CUSTOMER, "values"), "vectors")
+    near = segments.nearest_centres(again, table)
+    users, items = als.factor_tables(als.load(spark, f"{path}/als"), 0)
+    rated = factors.factor_predictions(factors.ratings(m.invoices), users, items)
+    return near.select(F.lit("segment").alias("kind"), CUSTOMER, F.col("nearest").cast("string").alias("key"),
+                       F.round("distance", 6).alias("value")).unionByName(
+        rated.select(F.lit("rating").alias("kind"), CUSTOMER, F.col(STYLE).alias("key"), F.round("score", 2).alias("value")))
 
 
 # --- ratings and given factors (R2, R5) -----------------------------------------
@@ -483,57 +507,56 @@ def relevance_graph(spark, sf_dir):
     return _cohort_score(evaluate.relevance_by_customer(graph_scores(m), m.invoices, m.products))
 
 
-def scored_runs(runs, m):
-    """V2 per run: the customers scored, and that the relevance is a percentage."""
-    r = tune.score_runs(runs, m)
-    return r.select("run_id", "params", "customers", F.col("relevance").between(0, 100).alias("percentage"))
+def scored_sets(spark, runs, m, param_sets):
+    """V2 per parameter set: the customers scored (none: 0) and their mean relevance."""
+    scored = tune.score_runs(runs, m).drop("params")
+    return (tune.run_table(spark, param_sets).join(scored, "run_id", "left")
+            .select("run_id", "params", F.coalesce("customers", F.lit(0).cast("bigint")).alias("customers"), "relevance"))
 
 
 def scored_kmeans(spark, sf_dir, param_sets):
-    """As ``scored_runs``, a row per set. Every customer with features is answered once
-    one segment has more members than ``segments.MIN_POPULATION``; some segment has
-    if there are more than k times as many customers, else customers is null."""
     m = load_mart(spark, sf_dir)
-    sets = spark.createDataFrame([(i, tune.params_text(p), p["k"]) for i, p in enumerate(param_sets)],
-                                 "run_id int, params string, k int")
-    runs = scored_runs(tune.kmeans_runs(spark, m, param_sets, seed=SEED), m)
-    sure = F.lit(features.complete_customers(m).count()) > F.col("k") * segments.MIN_POPULATION
-    return sets.join(runs, ["run_id", "params"], "left").select(
-        "run_id", "params", F.when(sure, F.coalesce("customers", F.lit(0))).alias("customers"),
-        F.coalesce("percentage", F.lit(True)).alias("percentage"))
+    return scored_sets(spark, tune.kmeans_runs(spark, m, param_sets, seed=SEED), m, param_sets)
+
+
+def scored_als(spark, sf_dir, param_sets):
+    m = load_mart(spark, sf_dir)
+    return scored_sets(spark, tune.als_runs(m, param_sets, seed=SEED), m, param_sets)
 
 
 @query("relevance_cf")
 def relevance_cf(spark, sf_dir):
-    """V5: explicit and implicit ALS scored in one query."""
-    m = load_mart(spark, sf_dir)
-    return scored_runs(tune.als_runs(m, tune.DEFAULT_CF_SETS, seed=SEED), m)
+    """V5: explicit and implicit ALS at their defaults."""
+    return scored_als(spark, sf_dir, tune.DEFAULT_CF_SETS)
+
+
+@query("relevance_cf_small")
+def relevance_cf_small(spark, sf_dir):
+    """V5 for two factors."""
+    return scored_als(spark, sf_dir, tune.SMALL_CF_SETS)
 
 
 @query("relevance_kmc")
 def relevance_kmc(spark, sf_dir):
+    """V6: K-means at its defaults."""
     return scored_kmeans(spark, sf_dir, tune.DEFAULT_KMEANS_SETS)
 
 
 @query("sweep_kmeans")
-def sweep_kmeans(spark, sf_dir, param_sets=tune.SHORT_KMEANS_SETS):
-    """V9 over the given sets: four by default, the whole grid as
-    ``tune.grid(k=tune.KMEANS_CLUSTERS, max_iter=tune.KMEANS_ITERATIONS)``."""
+def sweep_kmeans(spark, sf_dir, param_sets=tune.KMEANS_SETS):
+    """V9: all 180 parameter sets, as one model per number of clusters."""
     return scored_kmeans(spark, sf_dir, param_sets)
 
 
 @query("sweep_als")
-def sweep_als(spark, sf_dir, param_sets=tune.SHORT_CF_SETS):
-    """V8 over the given sets: four by default, the whole grid as
-    ``tune.grid(**tune.CF_GRID, implicit=[True])``."""
-    m = load_mart(spark, sf_dir)
-    return scored_runs(tune.als_runs(m, param_sets, seed=SEED), m)
+def sweep_als(spark, sf_dir, param_sets=tune.CF_SETS):
+    """V8: all 81 implicit parameter sets, as 27 models kept at three iteration counts."""
+    return scored_als(spark, sf_dir, param_sets)
 
 
 @query("sweep_features")
-def sweep_features(spark, sf_dir, param_sets=tune.SHORT_FEATURE_SETS):
-    """V10 over the given sets: the pairs of four features by default, subsets of
-    all as ``tune.feature_subsets(tune.DIMENSION_CANDIDATES, r)``."""
+def sweep_features(spark, sf_dir, param_sets=tune.FEATURE_SETS):
+    """All pairs of the 13 candidate features."""
     return scored_kmeans(spark, sf_dir, param_sets)
 
 

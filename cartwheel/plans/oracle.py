@@ -8,7 +8,7 @@ batch rewrites in the Spark code.
 
 from __future__ import annotations
 
-from ..operators import tune
+from ..operators import features, tune
 
 MART_VIEWS = {
     "all_products": """
@@ -73,9 +73,10 @@ MART_VIEWS = {
 
 def with_views(final: str, extra: list[tuple[str, str]] = ()) -> str:
     """``WITH`` the mart views and ``extra`` CTEs, then ``final``."""
-    ctes = list(MART_VIEWS.items()) + list(extra)
-    body = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in ctes)
-    return f"WITH {body}\n{final.strip()}"
+    ctes, stored = list(MART_VIEWS.items()) + list(extra), " MATERIALIZED"
+    # a name may end in MATERIALIZED
+    body = ",\n".join(f"{name.removesuffix(stored)} AS{stored if name.endswith(stored) else ''} ({sql.strip()})" for name, sql in ctes)
+    return f"WITH RECURSIVE {body}\n{final.strip()}"
 
 
 ORACLE: dict[str, str] = {}
@@ -490,41 +491,195 @@ oracle("relevance_graph", "SELECT count(*) AS customers, round(avg(relevance), 9
        *_GRAPH_CTES, *_relevance_ctes("graph"))
 
 
-# --- trained models: what holds whatever the model ---------------------------------------
+# --- K-means: the start and the steps of every model, stated in SQL ----------------------
 
-_UNOWNED = ("unowned", """
-    SELECT customer_id, least(10, (SELECT count(DISTINCT style_id) FROM invoices) - count(DISTINCT style_id)) AS n
-    FROM invoices GROUP BY customer_id""")
-_COMPLETE = "(SELECT count(DISTINCT customer_id) FROM flong)"
+def _draw(seed: int, what: str, id_: str) -> str:
+    """The first 8 hex digits of md5(seed:what:id) as a number."""
+    return f"('0x' || substr(md5('{seed}:{what}:' || CAST({id_} AS VARCHAR)), 1, 8))::BIGINT"
 
-for _name in ("als_explicit_recs", "als_implicit_recs"):
-    oracle(_name, """
-        SELECT customer_id, n AS n_suggested, CAST(0 AS BIGINT) AS n_owned, n AS n_scored FROM unowned WHERE n > 0""", _UNOWNED)
 
-oracle("kmeans_recs", f"""
-    SELECT {_COMPLETE} AS customers, CAST(0 AS BIGINT) AS farther, CAST(0 AS BIGINT) AS owned,
-           CAST(0 AS BIGINT) AS above_k""", *_feature_ctes())
+def _apart(one: str, other: str) -> str:
+    return f"round(list_distance({one}, {other}) ^ 2, 9)"
+
+
+def _kmeans_ctes(models: list[tuple[int, list[str], int]], seed: int) -> list[tuple[str, str]]:
+    """``cen(m, step, segment, v)`` for models (k, features, steps): candidates by two rounds of
+    draws, k of them by weight and distance, then Lloyd steps. ``mv`` has the vectors."""
+    spec = ", ".join(f"({m}, {k}, {steps})" for m, (k, _, steps) in enumerate(models))
+    parts = ", ".join(f"({m}, '{name}', {i})" for m, (_, names, _) in enumerate(models) for i, name in enumerate(names))
+    near = "(SELECT v.m, v.customer_id, min({apart}) AS d FROM mv v JOIN {t} c ON c.m = v.m GROUP BY 1, 2)"
+    ctes = [
+        ("spec", f"SELECT * FROM (VALUES {spec}) s(m, k, steps)"),
+        ("zall", """SELECT customer_id, feature, slot, CASE WHEN s <= 0 THEN value - m ELSE (value - m) / s END AS z
+                    FROM flong JOIN fstats USING (feature, slot)"""),
+        ("mv", f"""SELECT p.m, z.customer_id, list(z.z ORDER BY p.place, z.slot) AS v
+                   FROM zall z JOIN (VALUES {parts}) p(m, feature, place) ON p.feature = z.feature GROUP BY 1, 2"""),
+        ("cand0", f"""SELECT m, customer_id, v FROM (
+                        SELECT *, row_number() OVER (PARTITION BY m ORDER BY {_draw(seed, 'first', 'customer_id')}, customer_id) AS place
+                        FROM mv) WHERE place = 1"""),
+    ]
+    for r in (1, 2):
+        t = f"cand{r - 1}"
+        ctes += [(f"near{r}", near.format(apart=_apart("v.v", "c.v"), t=t).strip("()")),
+                 (f"cand{r}", f"""SELECT * FROM {t} UNION ALL
+                     SELECT v.m, v.customer_id, v.v FROM mv v JOIN near{r} n ON n.m = v.m AND n.customer_id = v.customer_id
+                     JOIN (SELECT m, sum(d) AS cost FROM near{r} GROUP BY m) t ON t.m = v.m JOIN spec s ON s.m = v.m
+                     WHERE {_draw(seed, f'round{r}', 'v.customer_id')} / 4294967296e0 * t.cost < 2 * s.k * n.d""")]
+    ctes += [
+        ("weights", f"""SELECT m, id, count(*) AS w FROM (
+                          SELECT v.m, v.customer_id, (min({{'d': {_apart('v.v', 'c.v')}, 'id': c.customer_id}})).id AS id
+                          FROM mv v JOIN cand2 c ON c.m = v.m GROUP BY 1, 2) GROUP BY 1, 2"""),
+        ("state(m, step, id, v, w, near, chosen)", f"""
+            SELECT c.m, 1, c.customer_id, c.v, coalesce(w.w, 0), CAST('inf' AS DOUBLE),
+                   row_number() OVER (PARTITION BY c.m ORDER BY coalesce(w.w, 0) DESC, c.customer_id) = 1
+            FROM cand2 c LEFT JOIN weights w ON w.m = c.m AND w.id = c.customer_id
+            UNION ALL
+            SELECT m, step, id, v, w, near, w * near > 0 AND row_number() OVER (PARTITION BY m ORDER BY round(w * near, 9) DESC, id) = 1
+            FROM (SELECT c.m, c.step + 1 AS step, c.id, c.v, c.w, least(c.near, {_apart('c.v', 'p.v')}) AS near
+                  FROM state c JOIN state p ON p.m = c.m AND p.chosen JOIN spec s ON s.m = c.m WHERE c.step < s.k) q"""),
+        ("cen(m, step, segment, v)", f"""
+            SELECT m, 0, step - 1, v FROM state WHERE chosen
+            UNION ALL
+            SELECT c.m, c.step + 1, c.segment, coalesce(n.v, c.v)
+            FROM cen c JOIN spec s ON s.m = c.m AND c.step < s.steps
+            LEFT JOIN (SELECT m, segment, list(x ORDER BY slot) AS v FROM (
+                         SELECT a.m, a.segment, slot, avg(x) AS x FROM (
+                           SELECT a.m, a.near.s AS segment, unnest(a.v) AS x, generate_subscripts(a.v, 1) AS slot FROM (
+                             SELECT v.m, v.customer_id, any_value(v.v) AS v, min({{'d': {_apart('v.v', 'c.v')}, 's': c.segment}}) AS near
+                             FROM mv v JOIN cen c ON c.m = v.m JOIN spec s ON s.m = c.m AND c.step < s.steps GROUP BY 1, 2) a) a
+                         GROUP BY 1, 2, 3) GROUP BY 1, 2) n ON n.m = c.m AND n.segment = c.segment"""),
+    ]
+    return ctes
+
+
+def _kmeans_run_ctes(sets: list[dict], seed: int) -> list[tuple[str, str]]:
+    """``runs(run_id, params, m, step)``, ``near`` and ``assign`` of every run, and ``top``: the
+    best unowned styles of the assigned segment. A style the customer does not own earns
+    the whole spend of the segment, as none of it is its own."""
+    keys: dict[tuple, int] = {}
+    steps: dict[tuple, int] = {}
+    rows = []
+    for i, p in enumerate(sets):
+        key = (p["k"], tuple(p.get("names", features.DEFAULT_FEATURES)))
+        m = keys.setdefault(key, len(keys))
+        steps[key] = max(steps.get(key, 0), p["max_iter"])
+        rows.append(f"({i}, '{tune.params_text(p)}', {m}, {p['max_iter']})")
+    models = [(k, list(names), steps[k, names]) for k, names in keys]
+    return _feature_ctes() + _kmeans_ctes(models, seed) + [
+        ("runs", f"SELECT * FROM (VALUES {', '.join(rows)}) r(run_id, params, m, step)"),
+        ("apart", f"""SELECT r.run_id, v.customer_id, c.segment, {_apart('v.v', 'c.v')} AS d
+                      FROM runs r JOIN mv v ON v.m = r.m JOIN cen c ON c.m = r.m AND c.step = r.step"""),
+        ("near", """SELECT run_id, customer_id, (min({'d': d, 's': segment})).s AS nearest, min(d) AS d FROM apart GROUP BY 1, 2"""),
+        ("good", "SELECT run_id, nearest AS segment FROM near GROUP BY 1, 2 HAVING count(*) > 5"),
+        ("assign", """SELECT run_id, customer_id, (min({'d': d, 's': segment})).s AS segment
+                      FROM apart JOIN good USING (run_id, segment) GROUP BY 1, 2"""),
+        ("own", "SELECT customer_id, style_id, sum(spend) AS s FROM invoices GROUP BY 1, 2"),
+        ("totals", """SELECT n.run_id, n.nearest AS segment, o.style_id, CAST(sum(o.s) AS DOUBLE) AS score
+                      FROM near n JOIN own o ON o.customer_id = n.customer_id GROUP BY 1, 2, 3"""),
+        ("best", """SELECT run_id, customer_id, style_id, score, rk FROM (
+                      SELECT a.run_id, a.customer_id, t.style_id, t.score, row_number() OVER (
+                        PARTITION BY a.run_id, a.customer_id ORDER BY t.score DESC, t.style_id) AS rk
+                      FROM assign a JOIN totals t ON t.run_id = a.run_id AND t.segment = a.segment
+                      WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.customer_id = a.customer_id AND o.style_id = t.style_id))
+                    WHERE rk <= 20"""),
+    ]
+
+
+def _run_relevance_ctes(best: str) -> list[tuple[str, str]]:
+    """``relevance(run_id, customers, relevance)`` of the ten best suggestions of every run."""
+    def bought(column: str) -> str:
+        return f"""(SELECT DISTINCT i.customer_id, p.{column} FROM invoices i JOIN products p ON p.style_id = i.style_id)"""
+    return [
+        _ATTR,
+        ("earned", f"""SELECT b.run_id, b.customer_id, CAST(sum(CASE WHEN d.customer_id IS NOT NULL THEN 1e0
+                         WHEN s.customer_id IS NOT NULL THEN 0.75e0 WHEN h.customer_id IS NOT NULL THEN 0.5e0 ELSE 0e0 END) AS DOUBLE)
+                         * 100 / count(*) AS relevance
+                       FROM {best} b LEFT JOIN attr a ON a.style_id = b.style_id
+                       LEFT JOIN {bought('prod_desc')} d ON d.customer_id = b.customer_id AND d.prod_desc = a.prod_desc
+                       LEFT JOIN {bought('sub_category')} s ON s.customer_id = b.customer_id AND s.sub_category = a.sub_category
+                       LEFT JOIN {bought('high_category')} h ON h.customer_id = b.customer_id AND h.high_category = a.high_category
+                       WHERE b.rk <= 10 GROUP BY 1, 2"""),
+        ("relevance", "SELECT run_id, count(*) AS customers, round(avg(relevance), 9) AS relevance FROM earned GROUP BY run_id"),
+    ]
 
-oracle("model_roundtrip", f"""
-    SELECT (SELECT count(*) FROM r) AS pairs, CAST(0 AS BIGINT) AS other_predictions,
-           {_COMPLETE} AS customers, CAST(0 AS BIGINT) AS other_segments""", *_feature_ctes(), _RATINGS)
 
+_SWEEP = """SELECT r.run_id, r.params, coalesce(v.customers, 0) AS customers, v.relevance
+            FROM runs r LEFT JOIN relevance v USING (run_id)"""
+SEED = 42
 
-def _runs(sets: list[dict], customers: str) -> str:
-    """A row per parameter set with the customers every run must score; ``customers``
-    may name the set's k."""
-    rows = ", ".join(f"({i}, '{tune.params_text(p)}', {p.get('k', 0)})" for i, p in enumerate(sets))
-    return f"""SELECT CAST(s.run_id AS INTEGER) AS run_id, s.params, {customers} AS customers, true AS percentage
-               FROM (VALUES {rows}) s(run_id, params, k)"""
+for _name, _sets in (("relevance_kmc", tune.DEFAULT_KMEANS_SETS), ("sweep_kmeans", tune.KMEANS_SETS),
+                     ("sweep_features", tune.FEATURE_SETS)):
+    oracle(_name, _SWEEP, *_kmeans_run_ctes(_sets, SEED), *_run_relevance_ctes("best"))
 
+oracle("kmeans_recs", "SELECT customer_id, CAST(rk AS INTEGER) AS rank, style_id, score FROM best",
+       *_kmeans_run_ctes([dict(k=100, max_iter=7)], SEED))
 
-_ANSWERED = f"CASE WHEN {_COMPLETE} > 5 * s.k THEN {_COMPLETE} END"     # by the pigeonhole principle
-_WITH_UNOWNED = "(SELECT count(*) FROM unowned WHERE n > 0)"
-oracle("relevance_cf", _runs(tune.DEFAULT_CF_SETS, _WITH_UNOWNED), _UNOWNED)
-oracle("sweep_als", _runs(tune.SHORT_CF_SETS, _WITH_UNOWNED), _UNOWNED)
-oracle("relevance_kmc", _runs(tune.DEFAULT_KMEANS_SETS, _ANSWERED), *_feature_ctes())
-oracle("sweep_kmeans", _runs(tune.SHORT_KMEANS_SETS, _ANSWERED), *_feature_ctes())
-oracle("sweep_features", _runs(tune.SHORT_FEATURE_SETS, _ANSWERED), *_feature_ctes())
+oracle("kmeans_centres", """
+    SELECT CAST(step AS INTEGER) AS step, CAST(segment AS INTEGER) AS segment, CAST(slot - 1 AS INTEGER) AS slot, round(x, 6) AS value
+    FROM (SELECT step, segment, unnest(v) AS x, generate_subscripts(v, 1) AS slot FROM cen)""",
+       *_feature_ctes(), *_kmeans_ctes([(10, features.DEFAULT_FEATURES, 3)], SEED))
+
+
+# --- ALS of two factors: every 2 x 2 system solved in closed form ------------------------
+
+def _als_ctes(run: int, p: dict, seed: int) -> list[tuple[str, str]]:
+    """``u{run}`` (customer_id, a, b) and ``i{run}`` (style_id, a, b) after the last iteration."""
+    def half(name: str, key: str, other: str, ys: str) -> list[tuple[str, str]]:
+        w = f"{p.get('alpha', 1.0)}e0 * abs(r.rating)" if p["implicit"] else "1e0"
+        b = f"(1e0 + {w})" if p["implicit"] else "r.rating"
+        g = f"(SELECT sum({{0}}) FROM {ys})" if p["implicit"] else "0e0"
+        return [(f"{name}_sums MATERIALIZED", f"""
+                    SELECT r.{key}, sum({w} * y.a * y.a) + {g.format('a * a')} + {p['reg']}e0 * count(*) AS aa,
+                           sum({w} * y.a * y.b) + {g.format('a * b')} AS ab,
+                           sum({w} * y.b * y.b) + {g.format('b * b')} + {p['reg']}e0 * count(*) AS bb,
+                           sum({b} * y.a) AS ra, sum({b} * y.b) AS rb
+                    FROM r JOIN {ys} y ON y.{other} = r.{other} GROUP BY r.{key}"""),
+                (f"{name} MATERIALIZED", f"""
+                    SELECT {key}, (bb * ra - ab * rb) / (aa * bb - ab * ab) AS a, (aa * rb - ab * ra) / (aa * bb - ab * ab) AS b
+                    FROM {name}_sums""")]
+
+    def coin(j: int) -> str:
+        return f"(('0x' || substr(md5('{seed}:als:' || customer_id::VARCHAR || ':{j}'), 1, 8))::BIGINT / 4294967296e0 - 0.5e0)"
+
+    ctes = [(f"u{run}_0 MATERIALIZED", f"""SELECT customer_id, a / sqrt(a * a + b * b) AS a, b / sqrt(a * a + b * b) AS b
+                 FROM (SELECT DISTINCT customer_id, {coin(0)} AS a, {coin(1)} AS b FROM r)""")]
+    for t in range(1, p["max_iter"] + 1):
+        ctes += half(f"i{run}_{t}", "style_id", "customer_id", f"u{run}_{t - 1}")
+        ctes += half(f"u{run}_{t}", "customer_id", "style_id", f"i{run}_{t}")
+    return [*ctes, (f"u{run}", f"SELECT * FROM u{run}_{p['max_iter']}"), (f"i{run}", f"SELECT * FROM i{run}_{p['max_iter']}")]
+
+
+_SMALL_ALS = [_RATINGS, *_als_ctes(0, tune.SMALL_CF_SETS[0], SEED), *_als_ctes(1, tune.SMALL_CF_SETS[1], SEED)]
+
+
+def _als_best(digits: tuple[int, int]) -> tuple[str, str]:
+    """``best(run_id, customer_id, style_id, score, rk)``: unowned styles by the product of factors."""
+    every = " UNION ALL ".join(
+        f"SELECT {run} AS run_id, u.customer_id, i.style_id, round(u.a * i.a + u.b * i.b, {digits[run]}) AS score FROM u{run} u CROSS JOIN i{run} i"
+        for run in (0, 1))
+    return ("best", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, customer_id ORDER BY score DESC, style_id) AS rk
+                        FROM ({every}) e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.customer_id = e.customer_id AND r.style_id = e.style_id))
+                        WHERE rk <= 10""")
+
+
+oracle("als_factors", " UNION ALL ".join(
+    f"SELECT {run} AS run_id, '{side}' AS side, CAST({key} AS VARCHAR) AS key, round(a, {d}) AS f1, round(b, {d}) AS f2 FROM {t}{run}"
+    for run in (0, 1) for side, key, t, d in (("customer", "customer_id", "u", 6), ("style", "style_id", "i", 6 if run else 2))), *_SMALL_ALS)
+
+oracle("als_recs_small", "SELECT run_id, customer_id, CAST(rk AS INTEGER) AS rank, style_id, score FROM best", *_SMALL_ALS, _als_best((2, 6)))
+
+oracle("relevance_cf_small", _SWEEP, *_SMALL_ALS, _als_best((6, 6)), *_run_relevance_ctes("best"),
+       ("runs", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{tune.params_text(p)}')" for i, p in enumerate(tune.SMALL_CF_SETS))
+        + ") r(run_id, params)"))
+
+oracle("model_roundtrip", f"""
+    SELECT 'segment' AS kind, customer_id, CAST(near.s AS VARCHAR) AS key, round(near.d, 6) AS value FROM (
+      SELECT v.customer_id, min({{'d': {_apart('v.v', 'c.v')}, 's': c.segment}}) AS near
+      FROM mv v JOIN cen c ON c.m = v.m AND c.step = 5 GROUP BY 1)
+    UNION ALL
+    SELECT 'rating', r.customer_id, r.style_id, round(u.a * i.a + u.b * i.b, 2)
+    FROM r JOIN u0 u ON u.customer_id = r.customer_id JOIN i0 i ON i.style_id = r.style_id""",
+       *_feature_ctes(), *_kmeans_ctes([(10, features.DEFAULT_FEATURES, 5)], SEED), *_SMALL_ALS)
 
 # --- reference-layout CSV round trip: same definitions as the direct queries ----------
 
