@@ -29,6 +29,7 @@ RECENCY_MONTHS = 24
 EXCLUDED_TAGS = ["MIX_2", "MIX_7"]
 TOP_K = 10
 REPORT_K = 20
+COHORT = 100
 
 
 def query(name: str):
@@ -81,6 +82,15 @@ def mba_top10(spark, sf_dir):
     return mba_top(spark, sf_dir)
 
 
+@query("best_customers_mba")
+def best_customers_mba(spark, sf_dir):
+    """The flagship query for a cohort, the ``COHORT`` customers of highest spend."""
+    m = load_mart(spark, sf_dir)
+    cohort = features.spend_stats(m.invoices).orderBy(F.col("total_spend").desc(), CUSTOMER).limit(COHORT).select(CUSTOMER)
+    top = basket.basket_top_k(m.invoices, TOP_K, cohort=materialize(cohort, "cohort"), score_digits=9)
+    return top.select(CUSTOMER, F.col("rank").cast("int"), STYLE, "score")
+
+
 def r4(c):
     return F.round(c, 4)
 
@@ -586,8 +596,12 @@ def suggestion_report(spark, sf_dir):
 def export_recommendations(spark, sf_dir):
     m, recs = filtered_segment_recs(spark, sf_dir, live_only=False)
     top = postfilter.top_k(postfilter.best_per_style(recs), REPORT_K)
-    # Appended to a table of its own in the session's warehouse, returned as read from it
-    return spark.table(sinks.append_recommendations(top, f"recommendations_{uuid.uuid4().hex}"))
+    # A table of its own in the session's warehouse, exported twice as after a retry, returned as read from it
+    name = f"recommendations_{uuid.uuid4().hex}"
+    top = materialize(top, "export")
+    for _ in range(2):
+        sinks.replace_recommendations(top, name, AS_OF)
+    return sinks.exported(spark, name, AS_OF)
 
 
 # --- reference-layout CSV files (S1, S6, S9) -------------------------------------
@@ -607,6 +621,13 @@ def csv_spend_stats(spark, sf_dir):
                     r9(F.col("avg_spend")).alias("avg_spend"))
 
 
+@query("csv_product_tags")
+def csv_product_tags(spark, sf_dir):
+    """Tags per style from the tag CSV."""
+    t = report.style_tags(file_mart(spark, sf_dir).mixes)
+    return t.select(STYLE, "tags", F.col("n_tags").cast("bigint"))
+
+
 @query("csv_household_features")
 def csv_household_features(spark, sf_dir):
     m = file_mart(spark, sf_dir)

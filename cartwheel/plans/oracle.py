@@ -123,6 +123,19 @@ oracle("mba_top10",
           WHERE rank <= 10""", _F, _N, _K, _CAND, _MBA)
 
 
+oracle("best_customers_mba",
+       """SELECT customer_id, CAST(rank AS INTEGER) AS rank, style_id, score FROM (
+            SELECT customer_id, style_id, score,
+                   row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, style_id) AS rank
+            FROM (SELECT customer_id, style_id, max(score) AS score FROM mba
+                  WHERE customer_id IN (SELECT customer_id FROM invoices GROUP BY customer_id
+                                        ORDER BY sum(spend) DESC, customer_id LIMIT 100)
+                    AND NOT EXISTS (SELECT 1 FROM invoices i WHERE i.customer_id = mba.customer_id
+                                    AND i.style_id = mba.style_id)
+                  GROUP BY customer_id, style_id))
+          WHERE rank <= 10""", _F, _N, _K, _CAND, _MBA)
+
+
 # --- sources ------------------------------------------------------------------
 
 oracle("invoice_lines",
@@ -685,3 +698,4 @@ oracle("model_roundtrip", f"""
 
 ORACLE["csv_spend_stats"] = ORACLE["customer_spend_stats"]
 ORACLE["csv_household_features"] = ORACLE["household_features"]
+ORACLE["csv_product_tags"] = ORACLE["product_tags"]

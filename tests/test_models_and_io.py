@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from cartwheel import functions as fn
 from cartwheel.operators import factors, features, segments, tune
 from cartwheel.session import scratch_path
 from cartwheel.sources import files, sinks, warehouse
@@ -135,3 +136,25 @@ def test_als_long_lists_are_asked_in_groups(mart, spark):
     n = {x.customer_id: x["count"] for x in recs.groupBy("customer_id").count().collect()}
     assert n.pop(10_000) == 3 and set(n.values()) == {5}
     assert recs.join(r, ["customer_id", "style_id"]).count() == 0
+
+
+def test_export_twice_leaves_one_copy(spark):
+    shape = "customer_id long, style_id string, score double"
+    one = spark.createDataFrame([(1, "A", 2.0), (2, "B", 1.0)], shape)
+    two = spark.createDataFrame([(9, "C", 5.0)], shape)
+    for rows, run in ((one, "monday"), (two, "tuesday"), (one, "monday")):
+        sinks.replace_recommendations(rows, "runs_test", run)
+    assert sorted(map(tuple, sinks.exported(spark, "runs_test", "monday").collect())) == [(1, "A", 2.0), (2, "B", 1.0)]
+    assert spark.table("default.runs_test").count() == 3
+    sinks.replace_recommendations(two, "runs_test", "monday")                 # a corrected run
+    assert [tuple(r) for r in sinks.exported(spark, "runs_test", "monday").collect()] == [(9, "C", 5.0)]
+    sinks.replace_recommendations(one.limit(0), "runs_test", "monday")        # a run without suggestions
+    assert sinks.exported(spark, "runs_test", "monday").count() == 0
+    assert sinks.exported(spark, "runs_test", "tuesday").count() == 1
+
+
+def test_array_and_key_functions(spark):
+    row = spark.createDataFrame([([1.0, 4.0], [3.0, 2.0], "S1", 7, 3, 2.5)], "a array<double>, b array<double>, s string, r int, q int, p double")
+    got = row.select(fn.array_add("a", "b"), fn.array_scale("a", 2), fn.item_key_style(fn.item_key("s", "r")), fn.line_amount("q", "p"),
+                     fn.score_text("p"), fn.percent_text("p")).first()
+    assert tuple(got) == ([4.0, 6.0], [0.5, 2.0], "S1", 7.5, "2.5000", "2.5%")

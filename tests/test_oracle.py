@@ -33,7 +33,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+# whole sweeps: compared at sf0.01 by scripts/check_oracle.py, and in parts by test_training.py
+WHOLE_SWEEPS = {"sweep_kmeans", "sweep_features"}
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - WHOLE_SWEEPS))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     cur = con.execute(entry.oracle_sql()[name])
