@@ -25,3 +25,16 @@ def crc_mod(id_column: str, n: int) -> Column:
 def parallelism(spark: SparkSession) -> int:
     """Reduce-side partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by their exact names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

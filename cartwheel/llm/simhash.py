@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import parallelism
+from .common import fresh, parallelism, quoted
 from .graph import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -241,12 +241,13 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id leads its component, one row each; where an
     id occurs on several rows the row with the least text hash stays. Rows without
     an id cannot lead a group and stay as they are."""
-    lead = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    once = docs.join(lead.filter("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    again = (docs.join(lead.filter("_rows > 1").select("doc_id"), "doc_id", "left_semi")
-             .withColumn("_h", F.xxhash64(*docs.columns)))
-    least = again.groupBy("doc_id").agg(F.min("_h").alias("_h"))
-    again = again.join(least, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id"]).drop("_h")
+    rows, mark = fresh(docs, "_rows"), fresh(docs, "_h")
+    lead = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows))
+    once = docs.join(lead.filter(F.col(rows) == 1).select("doc_id"), "doc_id", "left_semi")
+    again = (docs.join(lead.filter(F.col(rows) > 1).select("doc_id"), "doc_id", "left_semi")
+             .withColumn(mark, F.xxhash64(*quoted(docs))))
+    least = again.groupBy("doc_id").agg(F.min(mark).alias(mark))
+    again = again.join(least, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id"])
     no_id = docs.filter("doc_id is null")
-    cols = docs.columns
+    cols = quoted(docs)
     return once.select(cols).unionByName(again.select(cols)).unionByName(no_id.select(cols))

@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import quoted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -182,11 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 20_000, features: int
     return Model({f: float(v) for f, v in zip(names, w)}, bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1) from the whole text; null, empty and
+def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
+    """``docs`` with the column ``into`` (0 to 1) from the whole text; null, empty and
     wordless texts get the score of the bias alone. Rows and other columns stay as
     they are; a column of that name is replaced."""
-    cols = [c for c in docs.columns if c != "toxicity"]
+    kept = [(name, c) for name, c in zip(docs.columns, quoted(docs)) if name != into]
+    cols = [name for name, _ in kept]
     at = cols.index("text")
     index = {f: i for i, f in enumerate(model.weights)}
     weights, bias = np.array(list(model.weights.values())), model.bias
@@ -207,7 +211,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         hits.update(f)
                 z = bias + (float(weights[list(hits)].sum()) if hits else 0.0)
                 out.append(1 / (1 + float(np.exp(-max(-30.0, min(30.0, z))))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*cols, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "score"])
 
-    schema = docs.select(cols).schema.add("toxicity", "double")
-    return docs.select(cols).mapInArrow(run, schema)
+    # by place, as mapInArrow takes no names with dots
+    source = docs.select([c.alias(f"c{i}") for i, (_, c) in enumerate(kept)])
+    schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())])
+    return source.mapInArrow(run, schema).toDF(*cols, into)
