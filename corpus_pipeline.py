@@ -10,38 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.llm import decontamination, mixing, queries, sharding, simhash, toxicity
-from cartwheel.llm.common import table
+from cartwheel.llm.common import fresh, quoted, table
 from cartwheel.session import materialize
 
 TOXIC_FROM = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents scored below ``TOXIC_FROM``."""
-    cols = docs.columns
-    model = queries.toxicity_model(spark, sf_dir)
-    return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC_FROM).select(cols)
+    """The documents scored below ``TOXIC_FROM``, each row by its own whole text: null, empty and
+    blank texts by the model's bias, repeated rows alike. Columns stay as they are, also one
+    named ``toxicity``; an empty table stays empty."""
+    mark = fresh(docs, "toxicity")
+    scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir), into=mark)
+    return scored.filter(F.col(mark) < TOXIC_FROM).select(quoted(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates, that of the smallest id (of several rows of
+    that id, the one of least hash). Null, empty and blank texts are one group; rows without
+    an id stay; whole texts of any length count; an empty table stays empty."""
     groups = simhash.near_duplicates(docs, shingle=4, max_bits=4)
     return simhash.keep_one(docs, groups)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item. Rows of one id are judged together; null and empty
+    texts and rows without an id stay; an empty table stays empty."""
     leaked = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(leaked, "doc_id", "left_anti").select(quoted(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them; rows of one id are taken alike, texts without
+    words have size 0 and follow their source's rate; the null source is a source."""
     return mixing.emit(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row; equal texts share a shard."""
+    """Shard and slot of every row; equal texts (null texts too) share a shard, repeated rows have
+    slots of their own; an empty table gives no rows."""
     return sharding.shard(docs)
 
 
