@@ -2,8 +2,11 @@
 
 Tokens are summed per source; targets follow from the sources' weights by water
 filling under a cap on repetition; a document of a source with repetition rate r is
-taken floor(r) times, plus once more with probability r - floor(r), drawn from a
-hash of its id and a seed.
+taken floor(r) times, plus once more with probability r - floor(r) = f. The draw is
+systematic: a source's documents stand in order of size and, among like sizes, of a
+hash of the id and a seed; the i-th is taken once more where i * f plus a hash-seeded start
+passes a whole number. Every document has probability f, and a source's words
+miss its target by no more than about its largest document.
 """
 
 from __future__ import annotations
@@ -13,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .common import WORD
+from .common import WORD, quoted
+from .sharding import size_class
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 SEED = "mix"
+#: Leading bits in which sizes of one class agree: they differ by less than 1 part in 32.
+LEAD_BITS = 6
 
 
 def word_count(text: str = "text") -> Column:
@@ -63,23 +69,46 @@ def targets(weighed: DataFrame, cap: float = CAP) -> DataFrame:
     return weighed.withColumn("target", target).withColumn("rate", rate)
 
 
-def coin(id_column: str = "doc_id", seed: str = SEED) -> Column:
-    """A number in [0, 1) from the md5 of seed and id; reruns and both engines agree."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")))
+def coin(value: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from the md5 of seed and value; reruns and both engines agree."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(value.cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def copies(rate: Column, id_column: str = "doc_id", seed: str = SEED) -> Column:
-    """floor(rate) plus one if the id's coin is below the fraction."""
-    return (F.floor(rate) + (coin(id_column, seed) < rate - F.floor(rate)).cast("long")).cast("long")
+def source_key(source: str = "source") -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """The sources' table ``(source, source_size, weight, target, rate)`` for ``docs``.
+def placed(units: DataFrame, seed: str = SEED) -> DataFrame:
+    """Adds ``place``, the number from 1 of each unit in its source: larger classes of ``words``
+    first, then by coin, id and size. ``units`` is a stored table.
 
-    Null text has size 0, empty and blank texts too. An empty table gives no rows.
+    No task sees a whole source: a stratum (source, class) of n units is cut at the coin
+    into about sqrt(n) ranges, numbered apart and shifted by the counts before them.
     """
-    return targets(weigh(source_sizes(docs.select("source", word_count().alias("size"))), weights), cap)
+    stratum = ["key", "class"]
+    u = units.withColumn("key", source_key()).withColumn("class", size_class(F.col("words"), LEAD_BITS)).withColumn(
+        "coin", coin(F.col("doc_id"), seed))
+    larger = Window.partitionBy("key").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    strata = (u.groupBy(*stratum).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("larger", F.coalesce(F.sum("n").over(larger), F.lit(0)))
+              .withColumn("ranges", F.ceil(F.sqrt("n"))).drop("n"))
+    u = u.join(strata, stratum).withColumn("range", F.floor(F.col("coin") * F.col("ranges")))
+    span = [*stratum, "range"]
+    earlier = Window.partitionBy(*stratum).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (u.groupBy(*span).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
+    local = F.row_number().over(Window.partitionBy(*span).orderBy("coin", F.asc_nulls_last("doc_id"), "size"))
+    return (u.withColumn("local", local).join(starts, span)
+            .withColumn("place", F.col("larger") + F.col("start") + F.col("local"))
+            .select(*units.columns, "key", "place"))
+
+
+def copies(rate: Column, place: Column, start: Column) -> Column:
+    """floor(rate), plus one where place * fraction + start passes a whole number."""
+    f = rate - F.floor(rate)
+    return (F.floor(rate) + F.floor(place * f + start) - F.floor((place - 1) * f + start)).cast("long")
 
 
 def with_rates(docs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -90,20 +119,44 @@ def with_rates(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return docs.join(s, docs["source"].eqNullSafe(s["_source"]), "left").drop("_source")
 
 
-def decide(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, rate, copies)`` for every row of
-    ``docs``; repeated rows are decided alike (the coin hangs on the id alone)."""
-    sized = materialize(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+def sizes(docs: DataFrame) -> DataFrame:
+    """``(doc_id, source, size)`` of every row, stored."""
+    return materialize(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+
+
+def decisions(sized: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """``(unit_source, unit_id, unit_size, source_size, target, rate, copies)``: rows of one source,
+    id and size are a unit and taken alike; a unit's place follows from the words of all its rows."""
     sources = targets(weigh(source_sizes(sized), weights), cap)
-    return with_rates(sized, sources).withColumn("copies", copies(F.col("rate"), "doc_id", seed))
+    units = sized.groupBy("source", "doc_id", "size").agg((F.col("size") * F.count(F.lit(1))).alias("words"))
+    rated = with_rates(placed(materialize(units, "units"), seed), sources)
+    n = copies(F.col("rate"), F.col("place"), coin(F.col("key"), seed))
+    return rated.select(F.col("source").alias("unit_source"), F.col("doc_id").alias("unit_id"),
+                        F.col("size").alias("unit_size"), "source_size", "target", "rate", n.alias("copies"))
+
+
+def with_decisions(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """``rows(source, doc_id, size, ...)`` with the columns of their unit. An id on many rows is one
+    row of ``decided``; its partition of ``rows`` is split by AQE."""
+    same = (rows["source"].eqNullSafe(decided["unit_source"]) & rows["doc_id"].eqNullSafe(decided["unit_id"])
+            & (rows["size"] == decided["unit_size"]))
+    return rows.join(decided, same).drop("unit_source", "unit_id", "unit_size")
+
+
+def decide(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, rate, copies)`` for every row of ``docs``.
+
+    Null, empty and blank texts have size 0 and stand last in their source; the null source is a
+    source; repeated rows and rows without an id are taken alike where their sizes are equal;
+    an empty table gives no rows.
+    """
+    sized = sizes(docs)
+    return with_decisions(sized, decisions(sized, weights, cap, seed))
 
 
 def emit(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken. Columns stay
+    """The mix itself: the rows of ``docs``, each as often as ``decide`` takes it. Columns stay
     as they are."""
-    cols = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`") for c in cols])
-    rated = with_rates(inner.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "source", "doc_id"),
-                       mix(inner, weights, cap, seed))
-    taken = rated.withColumn("copies", copies(F.col("rate"), "doc_id", seed)).filter("copies > 0")
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), "source", "doc_id", word_count().alias("size"))
+    taken = with_decisions(rows, decisions(sizes(docs), weights, cap, seed)).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -63,12 +63,22 @@ rated AS (
          CASE WHEN source_size > 0 THEN least(least(weight * (SELECT max(x) FROM level), cap) / source_size, 3e0)
               ELSE 0e0 END AS rate
   FROM weighed),
+units AS (
+  SELECT source, doc_id, size, size * count(*) AS words FROM sized GROUP BY source, doc_id, size),
+classed AS (
+  SELECT *, greatest(len(bin(words)) - 6, 0)::BIGINT AS e, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM units),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY e * 64 + (words >> e) DESC, substr(h, 1, 8),
+                               doc_id NULLS LAST, size) AS place FROM classed),
+drawn AS (
+  SELECT p.*, r.rate, r.rate - floor(r.rate) AS f, r.source_size, r.target,
+         ('0x' || substr(md5('mix:' || coalesce('=' || p.source, '-')), 1, 8))::BIGINT / 4294967296e0 AS start
+  FROM placed p JOIN rated r ON p.source IS NOT DISTINCT FROM r.source),
 taken AS (
-  SELECT s.doc_id, s.size, r.source_size, r.target,
-         s.size * (floor(r.rate) + CASE WHEN
-           ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296e0
-             < r.rate - floor(r.rate) THEN 1 ELSE 0 END)::BIGINT AS taken
-  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source)
+  SELECT s.doc_id, s.size, d.source_size, d.target,
+         s.size * (floor(d.rate) + floor(d.place * d.f + d.start) - floor((d.place - 1) * d.f + d.start))::BIGINT AS taken
+  FROM sized s JOIN drawn d ON s.source IS NOT DISTINCT FROM d.source AND s.doc_id IS NOT DISTINCT FROM d.doc_id
+       AND s.size = d.size)
 SELECT doc_id, size, source_size, target, taken FROM taken
 """
 

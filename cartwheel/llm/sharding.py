@@ -24,13 +24,13 @@ OVERHEAD = 16
 BUCKET = 50_000
 
 
-def size_class(size: Column) -> Column:
-    """Class of a positive size: the size itself up to 512, beyond it its 9 leading
-    bits. Larger sizes have larger classes; at most 256 classes per power of two."""
+def size_class(size: Column, lead_bits: int = 9) -> Column:
+    """Class of a size: the size itself below 2 ** ``lead_bits`` (512), beyond it its leading
+    bits. Larger sizes have larger classes; at most 2 ** ``lead_bits`` / 2 (256) per power of two."""
     bits = F.length(F.bin(size))
-    e = F.greatest(bits - 9, F.lit(0)).cast("int")
+    e = F.greatest(bits - lead_bits, F.lit(0)).cast("int")
     lead = F.floor(size / F.pow(F.lit(2.0), e.cast("double"))).cast("long")
-    return e.cast("long") * 512 + lead
+    return e.cast("long") * 2 ** lead_bits + lead
 
 
 def deal(classes: list[tuple[int, int, float]], shards: int) -> list[tuple[int, int, int, int]]:
