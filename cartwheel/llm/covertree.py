@@ -4,7 +4,9 @@ Queries and data are cut into blocks of bounded size. Each pair of a query block
 and a data block is one task's work: it builds a cover tree over either side and
 walks both together. For nodes with centres q, x and covering radii a, b every
 inner product between their members is at most q.x + |q| b + |x| a + a b; a node
-pair whose bound is below the worst kth score of the query group is pruned. The
+pair whose bound is below the worst kth score of the query group is pruned. Inside a
+leaf of the query tree every query is then a group of its own (b = 0 on its side): those
+whose own kth score is above their bound leave the walk below that data node. The
 blocks' winners are merged by rank.
 """
 
@@ -25,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DATA_BLOCK = 4096
 QUERY_BLOCK = 1024
-LEAF = 64
+LEAF = 16
 
 
 def quantized(embedding: str, scale: int = 256) -> Column:
@@ -48,8 +50,8 @@ class Node:
 
 
 def cover_tree(x: np.ndarray) -> Node:
-    """A cover tree: the children of a node at scale s are a net whose centres are
-    more than s/2 apart and cover their members within s/2."""
+    """A cover tree: the children of a node are a net whose centres are more than ``step`` apart and
+    cover their members within ``step``, the greatest power of two below the node's radius."""
 
     def make(members: np.ndarray, centre_at: int) -> Node:
         centre = x[centre_at]
@@ -80,6 +82,7 @@ class Best:
 
     def __init__(self, n: int, k: int):
         self.k, self.score, self.at = k, np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+        self.scored = 0                                  # query-row pairs whose product was computed
 
     def worst(self, queries: np.ndarray) -> float:
         return float(self.score[queries, -1].min())
@@ -106,26 +109,47 @@ def dual_search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Best:
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2.0 ** 53
     best, qf, xf = Best(len(q), k), q.astype(np.float64), x.astype(np.float64)
 
+    length = np.sqrt((qf * qf).sum(axis=1))
+
     def scores(a, b):
         return qf[a] @ xf[b].T if exact else (q[a] @ x[b].T).astype(np.float64)
 
+    def slack(top):
+        return top + np.abs(top) * 1e-9 + 1e-6
+
     def bound(a: Node, b: Node) -> float:
-        top = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
-        return top + abs(top) * 1e-9 + 1e-6
+        return slack(float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius)
+
+    def open_queries(members: np.ndarray, b: Node) -> np.ndarray:
+        """The queries for which a row below ``b`` may still be among the k best."""
+        return members[slack(qf[members] @ b.centre + length[members] * b.radius) >= best.score[members, -1]]
+
+    def score_points(members: np.ndarray, points: np.ndarray) -> None:
+        s = scores(members, points)
+        best.scored += s.size
+        better = (s >= best.score[members, -1][:, None]).any(axis=1)
+        if better.any():
+            best.offer(members[better], s[better], points, ids)
+
+    def scan(members: np.ndarray, b: Node) -> None:
+        """The rows below ``b`` for the queries of one leaf, likely ones first."""
+        members = open_queries(members, b)
+        if not len(members):
+            return
+        if len(b.points):
+            score_points(members, b.points)
+        middle = qf[members].mean(axis=0)
+        reach = float(length[members].max())
+        for child in sorted(b.children, key=lambda c: -(float(middle @ c.centre) + reach * c.radius)):
+            scan(members, child)
 
     def walk(a: Node, b: Node) -> None:
         if bound(a, b) < best.worst(a.members):
             return
-        if a.children:                                   # split the query group first
-            for child in a.children:
-                walk(child, b)
-            if len(a.points):
-                walk(Node(a.centre, a.radius, [], a.points, a.points), b)
-            return
-        if len(b.points):
-            best.offer(a.members, scores(a.members, b.points), b.points, ids)
-        for child in sorted(b.children, key=lambda c: -bound(a, c)):
-            walk(a, child)
+        for child in a.children:                         # split the query group first
+            walk(child, b)
+        if len(a.points):                                # the whole group, if it is a leaf
+            scan(a.points, b)
 
     walk(cover_tree(qf), cover_tree(xf))
     return best

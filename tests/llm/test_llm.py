@@ -125,13 +125,36 @@ def test_topk_equals_brute_force_with_ties_and_nulls(spark):
 
 
 def test_dual_search_prunes_clustered_data():
+    """Right on clustered and on spread vectors with ties; few pairs are scored where the data allow it."""
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.integers(-3, 4, (300, 8)) + 1000 * k for k in range(5)]).astype(np.int64)
-    best = covertree.dual_search(x[::50], x, np.arange(len(x)), 4)
-    for row, q in enumerate(x[::50]):
-        s = x @ q
-        assert [(int(s[i]), int(i)) for i in np.lexsort((np.arange(len(x)), -s))[:4]] == [
-            (int(a), int(i)) for a, i in zip(best.score[row], best.at[row])]
+    centres = rng.normal(size=(20, 64))
+    near = np.floor(256 * (centres[rng.integers(0, 20, 4096)] + 0.05 * rng.normal(size=(4096, 64)))).astype(np.int64)
+    spread = rng.integers(-2, 3, (1500, 6))
+    share = {}
+    for name, x, q in (("near", near, near[::100][:40]), ("spread", spread, spread[::20])):
+        best = covertree.dual_search(q, x, np.arange(len(x)), 5)
+        share[name] = best.scored / (len(q) * len(x))
+        for row, v in enumerate(q):
+            s = x @ v
+            assert [(int(s[i]), int(i)) for i in np.lexsort((np.arange(len(x)), -s))[:5]] == [
+                (int(a), int(i)) for a, i in zip(best.score[row], best.at[row])]
+    assert share["near"] < 0.3 and share["spread"] <= 1
+
+
+def test_query_equals_brute_force(spark):
+    """op2's rows against all products of the whole table."""
+    df = entry.queries()["op2_exact_topk"](spark, SF)
+    assert dict(df.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    good = [r for r in rows if r.embedding and all(c is not None and math.isfinite(c) for c in r.embedding)]
+    ids = np.array([r.vec_id for r in good])
+    x = np.floor(256 * np.array([r.embedding for r in good], float)).astype(np.int64)
+    expected = []
+    for at in np.nonzero(ids % 50 == 0)[0]:
+        s = x @ x[at]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[at]][:5]
+        expected += [(int(ids[at]), rank, int(ids[i]), int(s[i])) for rank, i in enumerate(order, 1)]
+    assert sorted(map(tuple, df.collect())) == sorted(expected)
 
 
 # ---- toxicity
