@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import functions as fn
-from ..operators import als, basket, evaluate, factors, features, kmeans, postfilter, report, segments, similarity, tune
+from ..operators import als, basket, evaluate, factors, features, kmeans, neighbours, postfilter, report, segments, similarity, tune
 from ..session import checkpoint_dir, materialize, scratch_path
 from ..sources import files, sinks, warehouse
 from ..sources.mart import CUSTOMER, ITEM, REF, STYLE, load_mart, load_raw_mart
@@ -285,6 +285,24 @@ def customer_cosine(spark, sf_dir):
     return c.select(CUSTOMER, similarity.NEIGHBOUR, "dot", r9(F.col("cosine")).alias("cosine"))
 
 
+NEIGHBOURS = 10
+SIMILAR_FROM = 0.25
+
+
+@query("nearest_customers")
+def nearest_customers(spark, sf_dir):
+    e = materialize(similarity.edges(load_mart(spark, sf_dir)))
+    c = neighbours.nearest_customers(e, NEIGHBOURS)
+    return c.select(CUSTOMER, "rank", similarity.NEIGHBOUR, r9(F.col("cosine")).alias("cosine"))
+
+
+@query("similar_customers")
+def similar_customers(spark, sf_dir):
+    e = materialize(similarity.edges(load_mart(spark, sf_dir)))
+    c = neighbours.similar_customers(e, SIMILAR_FROM)
+    return c.select(CUSTOMER, similarity.NEIGHBOUR, r9(F.col("cosine")).alias("cosine"))
+
+
 def graph_scores(m, per_line_norm=False):
     # the edge table is read by weights, norms and spend: derive it once (a join of
     # lines and orders plus two semi-joins)

@@ -378,6 +378,18 @@ oracle("purchase_graph", """
 oracle("customer_cosine", "SELECT customer_id, neighbour_id, dot, round(cosine, 9) AS cosine FROM cos",
        _EDGES, _W, _NORM, _DOTS, _COS)
 
+oracle("nearest_customers",
+       """SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id
+                                                    ORDER BY round(cosine, 9) DESC, neighbour_id) AS INTEGER) AS rank,
+                 neighbour_id, round(cosine, 9) AS cosine
+          FROM cos WHERE customer_id <> neighbour_id QUALIFY rank <= 10""",
+       _EDGES, _W, _NORM, _DOTS, _COS)
+
+oracle("similar_customers",
+       """SELECT customer_id, neighbour_id, round(cosine, 9) AS cosine
+          FROM cos WHERE customer_id <> neighbour_id AND round(cosine, 9) >= 0.25""",
+       _EDGES, _W, _NORM, _DOTS, _COS)
+
 oracle("graph_recs", "SELECT * FROM graph", _EDGES, _W, _NORM, _DOTS, _COS, _SP, _GRAPH)
 
 oracle("graph_recs_line_norm", "SELECT * FROM graph", _EDGES, _W, _NORM_LINE, _DOTS, _COS, _SP, _GRAPH)
