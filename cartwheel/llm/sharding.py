@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
+from .common import fresh, quoted
 
 SHARDS = 40
 OVERHEAD = 16
@@ -79,8 +80,9 @@ def numbered(df: DataFrame, within: list[str], order: list[str], name: str, buck
             .withColumn(name, (F.col("_start") + F.col("_local")).cast("long")).drop("_b", "_local", "_start"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> DataFrame:
-    """``(doc_id, size, text_crc32, shard, slot)`` for every row of ``docs``.
+def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, row_key: str | None = None) -> DataFrame:
+    """``(doc_id, size, text_crc32, shard, slot)`` for every row of ``docs``, after them its
+    column ``row_key`` if one is named.
 
     Size is the UTF-8 length of the text (null: 0) plus ``overhead``. Rows with
     equal texts share a shard; rows with null text are one group, rows with empty
@@ -89,8 +91,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> Da
     no rows. A group is told by md5, crc32 and length of its text.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(overhead)
+    carried = [row_key] if row_key else []
     rows = materialize(docs.select(
-        "doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        "doc_id", *carried, size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")).alias("_md5")), "shard-rows")
     key = ["_md5", "_crc", "_one"]
     rows = rows.withColumn("_crc", F.coalesce("text_crc32", F.lit(-1))).withColumn("_one", F.col("size"))
@@ -108,7 +111,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> Da
     folded = quotas.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("runs"))
     at = F.filter("runs", lambda r: r["last"] >= F.col("number"))[0]["shard"]
     placed = number.join(F.broadcast(folded), "class").select(*key, at.alias("shard"))
-    out = materialize(rows.join(placed, key).select("doc_id", "size", "text_crc32", "_md5", "shard"), "shard-placed")
+    out = materialize(rows.join(placed, key).select("doc_id", "size", "text_crc32", "_md5", "shard", *carried), "shard-placed")
     n = out.count()
     out = numbered(out, ["shard"], ["doc_id", "size", "_md5"], "slot", max(1, -(-n // BUCKET)))
-    return out.select("doc_id", "size", "text_crc32", "shard", "slot")
+    return out.select("doc_id", "size", "text_crc32", "shard", "slot", *carried)
+
+
+def shard_rows(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> DataFrame:
+    """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot`` of ``shard`` behind its own columns,
+    every row once, also where ids repeat or are null. A column of ``docs`` with one of these
+    names stays, the new one has an underscore in front. Texts are kept aside while the
+    shards are dealt and meet their shard by a stored row key.
+    """
+    key = fresh(docs, "_row")
+    stored = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "shard-texts")
+    new = ["size", "text_crc32", "shard", "slot"]
+    dealt = shard(stored, shards, overhead, row_key=key).select(key, *[F.col(c).alias(fresh(docs, c)) for c in new])
+    return stored.join(dealt, key).select(*quoted(docs), *[fresh(docs, c) for c in new])

@@ -9,7 +9,9 @@ The as-of join is an equi-join on (key, epoch). A capture yields a key for its h
 its parent domains and its path prefixes up to a fixed depth; a deeper entry is kept
 under its key of that depth and compared in full. An interval is registered in every
 epoch it overlaps, so a key with a long history meets a capture only with the
-entries of the capture's own epoch.
+entries of the capture's own epoch. Only epochs in which something was captured count, so
+one capture of a far date adds one epoch and not those in between; their list, which the
+driver holds, has at most a number for every 64 days of the calendar.
 """
 
 from __future__ import annotations
@@ -100,13 +102,12 @@ def judge(captures: DataFrame, entries: DataFrame, block: list[str], allow: list
     occur. A hot host is split by AQE: captures only stream past its entries.
     """
     rows = captures.select("capture_id", "url", "fetched")
-    seen = rows.agg(F.min("fetched"), F.max("fetched")).first()
-    first, last = F.lit(seen[0]).cast("date"), F.lit(seen[1]).cast("date")
+    asked_in = [r[0] for r in rows.filter("fetched is not null").select(_epoch(F.col("fetched"))).distinct().collect()]
+    epochs = F.split(F.lit(",".join(map(str, asked_in)) or "0"), ",").cast("array<int>")
+    last = _epoch(F.date_sub("valid_to", 1))
     spans = (intervals(entries)
-             .withColumn("_from", _epoch(F.greatest("valid_from", first)))
-             .withColumn("_to", _epoch(F.least(F.coalesce(F.date_sub("valid_to", 1), last), last)))
-             .filter("_from <= _to")
-             .withColumn("epoch", F.explode(F.sequence("_from", "_to")))
+             .withColumn("epoch", F.explode(F.filter(epochs, lambda e: (e >= _epoch(F.col("valid_from")))
+                                                     & (F.col("valid_to").isNull() | (e <= last)))))
              .select("list", "value", "key", "epoch", "valid_from", "valid_to"))
     asked = (rows.filter("url is not null and fetched is not null").distinct()
              .withColumn("_host", host(F.col("url"))).withColumn("_path", path(F.col("url")))
