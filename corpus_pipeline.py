@@ -47,9 +47,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row; equal texts (null texts too) share a shard, repeated rows have
-    slots of their own; an empty table gives no rows."""
-    return sharding.shard(docs)
+    """Every row, text included, with its shard and slot; equal texts (null texts too) share a shard,
+    repeated rows have slots of their own; an empty table gives no rows. Columns named size,
+    text_crc32, shard or slot stay as they are, the stage's own then begin with an underscore."""
+    return sharding.shard_rows(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates), ("decontamination", drop_leaks),
