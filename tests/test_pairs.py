@@ -1,0 +1,48 @@
+"""Joins of pairs that are moved as lists (basket_pairs, customer_cosine)."""
+
+import collections
+
+from pyspark.sql import functions as F
+
+from cartwheel.operators import basket, similarity
+from cartwheel.operators.skew import SHARE, listed_join
+
+
+def sides(spark):
+    """A key with half of the rows, keys of one row, null keys, rows that come twice."""
+    left = spark.range(300).select(F.when(F.col("id") % 11 > 0, F.col("id") % 40 * (F.col("id") % 2)).alias("k"), (F.col("id") % 7).alias("a"))
+    right = spark.range(200).select(F.when(F.col("id") % 13 > 0, F.col("id") % 30 * (F.col("id") % 2)).alias("k"), (F.col("id") % 17).alias("c"),
+                                    F.col("id").cast("string").alias("text"))
+    return left, right
+
+
+def test_listed_join_equals_plain_join(spark):
+    left, right = sides(spark)
+    plain = collections.Counter(map(tuple, left.join(right, "k").select("a", "c", "text").collect()))
+    for per_task in (500, 1_000_000):
+        j = listed_join(left, right, ["k"], ["a"], per_task=per_task)
+        assert collections.Counter(map(tuple, j.select("a", "c", "text").collect())) == plain
+        parts = j.select("a", SHARE, F.spark_partition_id().alias("at")).distinct().collect()
+        assert len(parts) == len({(r["a"], r[SHARE]) for r in parts})
+        if per_task == 500:
+            assert len(parts) > 7                    # values of ``a`` with too many rows are shared out
+    up = listed_join(left, right, ["k"], ["a"], upwards=("a", "c"), per_task=500)
+    kept = collections.Counter({r: n for r, n in plain.items() if r[1] >= r[0]})
+    assert collections.Counter(map(tuple, up.select("a", "c", "text").collect())) == kept
+
+
+def last_exchange(df):
+    """The exchange nearest to the result."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return next(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_pairs_are_moved_once(spark, golden):
+    pairs = basket.pair_counts(basket.baskets(golden.invoices))
+    cosine = similarity.customer_cosine(similarity.edges(golden))
+    for df in (pairs, cosine):
+        assert "REPARTITION_BY_NUM" in last_exchange(df)
+    got = {tuple(r) for r in pairs.filter("style_1 = 'A'").select("style_2", "ref_2", "co_count", "support").collect()}
+    assert got == {("A", 0, 3, 3), ("B", 0, 2, 3), ("C", 0, 1, 3), ("C", 1, 1, 3)}
+    assert {(r["customer_id"], r["neighbour_id"]) for r in cosine.collect()} == {
+        (a, c) for a in (1, 2, 3) for c in (1, 2, 3)} | {(4, 4)}
